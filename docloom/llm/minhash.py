@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .shared import Stages, binary, components, hubs, labels, linked, runs  # noqa: F401
+from .shared import Stages, binary, components, hubs, labels, linked, runs, small
 
 BANDS, ROWS, BATCH = 24, 4, 16
 SIZE = BANDS * ROWS
@@ -158,8 +158,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     parts = [F.xxhash64(F.lit(k), F.substring("sig", 1 + 4 * ROWS * k, 4 * ROWS)) for k in range(BANDS)]
     banded = classes.select("node", F.explode(F.array(*parts)).alias("bucket"))
     pairs = hubs(stages, banded)
-    nodes = pairs.select("node").distinct()
-    texts = source.where("doc_id is not null").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    nodes = stages.write(pairs.select(F.col("node").alias("doc_id")).distinct())
+    texts = source.where("doc_id is not null").join(small(nodes), "doc_id").dropDuplicates(["doc_id"])
     payload = texts.join(classes.withColumnRenamed("node", "doc_id"), "doc_id").selectExpr("doc_id as node", "n_shingles as weight", "n_shingles", "sig", "text")
     payload = stages.write(payload)
     comps = linked(stages, pairs, payload, verify(words, percent))
@@ -171,3 +171,18 @@ def _result(table: DataFrame, moved: DataFrame) -> DataFrame:
     found = table.drop("sig").join(moved, ["k1", "k2"], "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
     return found.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group (the smallest id) left; all columns stay, rows of null id too.
+
+    Rows that repeat a kept id are one document: one of them stays.
+    """
+    stages = Stages(docs.sparkSession, "unique")
+    found = stages.write(near_duplicates(docs, words=words, percent=percent, id_col=id_col, text_col=text_col))
+    out = docs.join(small(found.where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()), F.col(id_col) == F.col("dropped_id"), "left_anti")
+    again = stages.write(found.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_id")))
+    if again.isEmpty():
+        return out
+    some = out.join(again, F.col(id_col) == F.col("again_id"), "left_semi").dropDuplicates([id_col])
+    return out.join(again, F.col(id_col) == F.col("again_id"), "left_anti").union(some)

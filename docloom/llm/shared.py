@@ -90,6 +90,15 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
+#: Rows of a narrow side that may be broadcast.
+MAX_BROADCAST = 250_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df (narrow rows), to be broadcast if it is counted and has few rows; else Spark joins by shuffle."""
+    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+
+
 def binary(col: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return col.cast(pa.binary()).to_pylist()
 
