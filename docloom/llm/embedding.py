@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLOCK_ROWS, Stages, components, hubs, labels, linked, runs, spread  # noqa: F401
+from .shared import BLOCK_ROWS, Stages, hubs, labels, linked, runs, spread
 
 #: Chance that a pair at the threshold shares no band, and standard deviations of the confidence bound.
 MISS, SIGMAS = 1e-4, 4.5

@@ -5,26 +5,77 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat
+from .decontaminate import find_leaks
 from .embedding import near_embeddings
+from .html import main_text
+from .langid import held_out, identify, learn
 from .minhash import near_duplicates
+from .mixing import mix
+from .quality import classify
+from .secrets import find_secrets
+from .suffix import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 4, 2)
+    return identify(docs, learn(docs.where(~held)), held=held)
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held=held_out(F.col("doc_id"), 3, 1))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_rotation": op1_chat_rotation,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_language_id": op4_language_id,
+    "op5_html_text": op5_html_text,
+    "op6_decontamination": op6_decontamination,
+    "op7_secrets": op7_secrets,
+    "op8_mixing": op8_mixing,
+    "op9_quality": op9_quality,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_chat_rotation": chat.SQL}
