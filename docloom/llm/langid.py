@@ -166,8 +166,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str
     return some.mapInArrow(_predict(prototypes), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], *, min_score: float = 0.05, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose language is ``und`` or whose score is under min_score; all columns stay."""
+def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], *, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose language is ``und`` or whose score is under min_score; all columns stay (0: only ``und`` goes)."""
     ship(docs.sparkSession)
     k = docs.columns.index(text_col)
     matrix = np.array(list(prototypes.values())).reshape(len(prototypes), DIM)
