@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import hashing as H
-from .shared import Stages, binary, small
+from .shared import Stages, binary, pieces, small
 
 N, LEAST_SEEDS, LEAST_WORDS, RARE, THRESHOLD, CHUNK_WORDS = 4, 5, 8, 1e-4, 0.5, 2_000_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 128 else c for c in range(256))
@@ -61,7 +61,7 @@ class Grams:
 def _hits(grams: np.ndarray, longest: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Grams(grams)
-        for b in batches:
+        for b in pieces(batches):
             ids, rows = b.column(0).to_pylist(), []
             for i, t in zip(ids, binary(b.column(1)), strict=True):
                 w = word_ids(t)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.deploy import ship
-from .shared import Stages
+from .shared import Stages, pieces
 
 MAX_BROADCAST = 100_000
 
@@ -174,13 +174,13 @@ def extract(blocks: list[tuple[str, tuple[str, ...], int]], winner: str | None)
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches):
         found = [best(parse(x or "")) for x in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in found], pa.string()), pa.array([min(s, 1e4) for _, s in found], pa.float64())], names=["host", "path", "score"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches):
         texts = [extract(parse(x or ""), w) for x, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .shared import Stages, binary, components, hubs, labels, linked, runs, small
+from .shared import Stages, binary, components, hubs, labels, linked, pieces, runs, small
 
 BANDS, ROWS, BATCH = 24, 4, 16
 SIZE = BANDS * ROWS
@@ -47,7 +47,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def sketch(width: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             n, k1, k2, sigs = [], [], [], []
             for t in binary(b.column(1)):
                 s = H.shingle_set(t or b"", width)

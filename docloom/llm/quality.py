@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .shared import Stages, binary
+from .shared import Stages, binary, pieces
 
 NAMES = ("words", "word_bytes", "upper", "symbols", "digits", "distinct", "top_word", "same_next", "same_lines", "no_letter", "line_bytes", "symbol_runs", "ends", "short", "distinct_pairs", "bangs")
 TRAIN_ROWS, BINS, GRID, PAIRS, CYCLES, PAIR_CYCLES, RATE = 20_000, 32, 8, 6, 120, 60, 0.15
@@ -81,7 +81,7 @@ def features(text: bytes) -> np.ndarray:
 
 
 def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches):
         rows = np.concatenate([features(t or b"") for t in binary(b.column(2))]) if b.num_rows else np.empty(0, np.float32)
         offsets = np.arange(0, len(rows) + 1, len(NAMES), dtype=np.int32)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, pa.array(rows, pa.float32()))], names=["doc_id", "held_out", "features"])

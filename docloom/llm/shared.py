@@ -99,6 +99,13 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Record batches of fewer rows, so that Python objects of one are few."""
+    for b in batches:
+        for o in range(0, b.num_rows, rows):
+            yield b.slice(o, rows)
+
+
 def binary(col: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return col.cast(pa.binary()).to_pylist()
 

@@ -28,13 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .shared import Stages, binary, runs, small, spread
+from .shared import Stages, binary, pieces, runs, small, spread
 
-LENGTH, GRAM, HOT, INDEX_BYTES, SLAB = 200, 40, 512, 1 << 20, 1 << 19
+LENGTH, GRAM, HOT, INDEX_BYTES, SLAB = 200, 40, 512, 1 << 18, 1 << 19
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -68,7 +68,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
 
 
 def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches):
         k1, k2 = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
         parts = [anchors(np.frombuffer(t or b"", np.uint8)) for t in binary(b.column(2))]
         n = [len(x[0]) for x in parts]
@@ -170,7 +170,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches):
         rows = []
         for t, need in zip(binary(b.column(0)), b.column(1).to_pylist(), strict=True):
             rows += [(x["h"], x["ctx"], x["whole"], t[x["a"] : x["b"] + LENGTH]) for x in need]
@@ -179,7 +179,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches):
         h, ctx, off, value = [], [], [], []
         for t, need in zip(binary(b.column(0)), b.column(1).to_pylist(), strict=True):
             for x in need:
@@ -193,7 +193,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches):
         rows = []
         for t, full, marks in zip(binary(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             t = t or b""
@@ -252,6 +252,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         found = found.union(more)
     marks = rows.join(groups.where("whole").select("h", "ctx"), ["h", "ctx"]).selectExpr(*key, "a", f"b + {LENGTH} as e")
     marks = marks.union(found.join(groups.select("h", "ctx", *key, "a"), ["h", "ctx"]).selectExpr(*key, "a + s as a", f"a + e + {LENGTH} as e"))
+    # overlapping marks of a text are one span
+    before = Window.partitionBy(*key).orderBy("a", "e").rowsBetween(Window.unboundedPreceding, -1)
+    marks = marks.withColumn("new", F.coalesce(F.col("a") > F.max("e").over(before), F.lit(True)).cast("int"))
+    marks = marks.withColumn("span", F.sum("new").over(Window.partitionBy(*key).orderBy("a", "e").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    marks = marks.groupBy(*key, "span").agg(F.min("a").alias("a"), F.max("e").alias("e"))
     plan = marks.groupBy(*key).agg(F.collect_list(F.struct("a", "e")).alias("marks")).join(copies.select(*key, F.lit(True).alias("full")), key, "full")
     plan = stages.write(plan.withColumn("marks", F.when(F.col("full").isNull(), F.col("marks"))))
     return source.join(small(plan), key, "left").select("doc_id", "text", "full", "marks").mapInArrow(_cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
