@@ -1,0 +1 @@
+"""Relational operators of the document-to-table flow."""

@@ -1,10 +1,5 @@
 """All registered queries by name, and the DuckDB text that each must equal."""
 
-from __future__ import annotations
+from .queries import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

@@ -1,0 +1 @@
+"""Structured Streaming wrappers of the batch transforms."""
