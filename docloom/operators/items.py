@@ -176,14 +176,17 @@ def parse_paragraphs(docs: DataFrame, pass_no: int = 9) -> DataFrame:
 def all_passes(docs: DataFrame, from_tables: DataFrame | None = None) -> DataFrame:
     """The bag of all passes.  GeM documents use the category list first and schedule layouts only if nothing was
     found; paragraphs are read only in documents without any item."""
-    kind = docs.withColumn("portal", portal(F.col("text")))
+    from ..plans.stages import Stages
+
+    stages = Stages(docs.sparkSession, "passes")
+    kind = stages.write(docs.select("doc_id", "text", portal(F.col("text")).alias("portal")))
     gem, rest = kind.where("portal = 'gem'"), kind.where("portal <> 'gem'")
     first = parse_categories(gem)
-    if from_tables is not None:
-        first = from_tables.unionByName(first)
+    first = stages.write(from_tables.unionByName(first) if from_tables is not None else first)
     again = gem.join(first.select("doc_id").distinct(), "doc_id", "left_anti")
-    found = first.unionByName(parse_items(rest)).unionByName(parse_breakups(rest)).unionByName(parse_items(again, 4))
-    none = docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    schedules = rest.select("doc_id", "text", F.lit(2).alias("pass_no")).union(again.select("doc_id", "text", F.lit(4).alias("pass_no")))
+    found = stages.write(first.unionByName(parse_items(schedules)).unionByName(parse_breakups(rest)))
+    none = kind.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
     return found.unionByName(parse_paragraphs(none))
 
 

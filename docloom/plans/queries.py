@@ -69,7 +69,7 @@ def k10(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "k12_category_list",
     """with p as (select o_orderkey, list(distinct 'Part ' || p_name order by 'Part ' || p_name) as names from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey group by 1),
-    e as (select cast(o_orderkey as varchar) as doc_id, unnest(list_filter(names, x -> length(x) >= 8)) as description, unnest(range(1, len(list_filter(names, x -> length(x) >= 8)) + 1)) as k from p)
+    e as (select cast(o_orderkey as varchar) as doc_id, unnest(list_filter(names, lambda x: length(x) >= 8)) as description, unnest(range(1, len(list_filter(names, lambda x: length(x) >= 8)) + 1)) as k from p)
     select doc_id, cast(k as varchar) as s_no, description from e where k <= 2""",
 )
 def k12(spark: SparkSession, d: str) -> DataFrame:
@@ -284,7 +284,7 @@ def _scalar(name: str, tab: str, key: str, build: Callable[[], Column], sql: str
 
 _scalar("h03_collapse", "documents", "doc_id", lambda: T.collapse(F.col("text")), "nullif(trim(regexp_replace(replace(text, chr(10), ' '), '[ \\t]+', ' ', 'g')), '')")
 _scalar("h04_truncate", "documents", "doc_id", lambda: T.truncate(F.col("text"), 100), "case when length(trim(text, chr(10) || ' ')) > 100 then regexp_replace(substr(trim(text, chr(10) || ' '), 1, 97), '\\s+$', '') || '...' else trim(text, chr(10) || ' ') end")
-_scalar("h10_lines", "documents", "doc_id", lambda: F.size(T.lines_of(F.col("text"))).cast("bigint"), "len(list_filter(string_split(text, chr(10)), x -> trim(x) <> ''))")
+_scalar("h10_lines", "documents", "doc_id", lambda: F.size(T.lines_of(F.col("text"))).cast("bigint"), "len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))")
 _scalar("h12_norm_num", "lineitem", "l_orderkey", lambda: T.norm_num(F.concat(F.lit(" "), F.format_number("l_extendedprice", 2))), _MONEY.format("l_extendedprice"))
 _scalar("h13_norm_desc", "part", "p_partkey", lambda: T.norm_desc(F.concat(F.lit("Description:-  "), F.col("p_name"), F.lit(" "), F.col("p_type"))), "trim(substr(lower(p_name) || ' ' || lower(p_type), 1, 50))")
 _scalar("h14_item_code", "part", "p_partkey", lambda: T.item_code(F.when(F.col("p_partkey") % 2 == 0, F.lpad(F.col("p_partkey").cast("string"), 8, "0")).otherwise(F.concat(F.lit("ns"), F.col("p_partkey").cast("string")))), "case when p_partkey % 2 = 0 then case when p_partkey = 0 then '0' else cast(p_partkey as varchar) end else 'NS' || p_partkey end")
@@ -296,7 +296,7 @@ _scalar("h21_schedule_letter", "nation", "n_nationkey", lambda: T.schedule_lette
 _scalar("h22_tokens", "documents", "doc_id", lambda: T.tokens(F.col("text")), "cast(greatest(length(text) // 4, 1) as integer)")
 _scalar("h24_json", "events", "event_id", lambda: F.get_json_object(F.to_json(T.loose_json(F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```")), "map<string,string>")), "$.k"), "json_extract_string(props, '$.k')")
 _scalar("h29_code_number", "part", "p_partkey", lambda: T.code_number(F.concat(F.lit("NS0"), (F.col("p_partkey") % 1000).cast("string"))), "cast(p_partkey % 1000 as varchar)")
-_scalar("d13_checklist", "documents", "doc_id", lambda: F.array_join(fields.checklist(F.concat(F.col("text"), F.lit(" Balance Sheet, power of attorney"))), "|"), "case when regexp_matches(text, '(?i)(^|[^a-z])poa([^a-z]|$)') then 'x' else 'Balance Sheet|Power of Attorney' end")
+_scalar("d13_checklist", "documents", "doc_id", lambda: F.array_join(fields.checklist(F.concat(F.col("text"), F.lit(" Balance Sheet, power of attorney"))), "|"), "'Balance Sheet|' || case when regexp_matches(text, '(?i)\\biso[0-9]*([^a-z0-9]|$)|\\biso') then 'ISO Certificate|' else '' end || 'Power of Attorney'")
 _scalar("i18_email", "documents", "doc_id", lambda: T.nullif_empty(F.regexp_extract("text", fields.EMAIL, 0)), "nullif(regexp_extract(text, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}', 0), '')")
 
 
