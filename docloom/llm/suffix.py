@@ -12,7 +12,9 @@ minimiser, the least hash of their ``GRAM``-byte grams, so each window is assign
    from sample to sample, one less per byte, gives each position's matching statistics against all other positions;
    windows with LENGTH or more are repeats.
 4. Anchors with more than ``HOT`` different contexts (a phrase that many documents share) would fill one task.  Their
-   windows are counted by hash within the anchor instead, which Spark spreads.
+   windows are compared by hash within the anchor instead, which Spark spreads, in gaps of ``STEP`` windows: bytes common to
+   a gap's windows that are unique make all of them unique, a repeated union makes all of them repeats; only the windows
+   of the gaps in between, at the rims of a passage, are counted one by one.
 
 Joins with texts broadcast the small side up to a counted number of rows and shuffle beyond it.
 
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from . import hashing as H
 from .shared import Stages, binary, pieces, runs, small, spread
 
-LENGTH, GRAM, HOT, INDEX_BYTES, SLAB = 200, 40, 512, 1 << 18, 1 << 19
+LENGTH, GRAM, HOT, STEP, INDEX_BYTES, SLAB = 200, 40, 512, 8, 1 << 18, 1 << 19
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -173,23 +175,66 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches):
         rows = []
         for t, need in zip(binary(b.column(0)), b.column(1).to_pylist(), strict=True):
-            rows += [(x["h"], x["ctx"], x["whole"], t[x["a"] : x["b"] + LENGTH]) for x in need]
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["h", "ctx", "whole", "bytes"])
+            rows += [(x["h"], x["ctx"], x["whole"], x["p"] - x["a"], t[x["a"] : x["b"] + LENGTH]) for x in need]
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "ctx", "whole", "lead", "bytes"])
+
+
+def _hash_at(s: np.ndarray, inverse: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return H.mix((s[j] - s[i]) * inverse[i] + (j - i).astype(np.uint64)).view(np.int64)
+
+
+def _gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, ctx, lead, bytes): for each gap of STEP windows (by offset from the anchor) its first and last window in the
+    context, the hash of the bytes common to all windows of the whole gap, and the hash of the union of those present."""
+    for b in pieces(batches):
+        parts = []
+        for h, ctx, lead, t in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            data = np.frombuffer(t, np.uint8)
+            s, inverse = H.prefix_sums(data), H.powers(len(data) + 1)[1]
+            last = len(data) - LENGTH - lead
+            gap = np.arange(-lead // STEP, last // STEP + 1)
+            first, end = np.maximum(gap * STEP, -lead), np.minimum(gap * STEP + STEP - 1, last)
+            core = _hash_at(s, inverse, gap * STEP + STEP - 1 + lead, gap * STEP + LENGTH + lead)
+            union = _hash_at(s, inverse, first + lead, end + LENGTH + lead)
+            parts.append(np.stack([np.full(len(gap), h), np.full(len(gap), ctx), gap, first, end, core, union]))
+        cols = np.concatenate(parts, 1) if parts else np.empty((7, 0), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h", "ctx", "gap", "first", "last", "core", "union"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, ctx, lead, bytes, first, last): the hash of each window from first to last, by offset from the anchor."""
     for b in pieces(batches):
-        h, ctx, off, value = [], [], [], []
-        for t, need in zip(binary(b.column(0)), b.column(1).to_pylist(), strict=True):
-            for x in need:
-                g = H.window_hashes(np.frombuffer(t, np.uint8)[x["a"] : x["b"] + LENGTH], LENGTH).view(np.int64)
-                h.append(np.full(len(g), x["h"]))
-                ctx.append(np.full(len(g), x["ctx"]))
-                off.append(np.arange(len(g)) + x["a"] - x["p"])
-                value.append(g)
-        join = lambda v: pa.array(np.concatenate(v) if v else np.empty(0, np.int64), pa.int64())
-        yield pa.RecordBatch.from_arrays([join(h), join(ctx), join(off), join(value)], names=["h", "ctx", "off", "value"])
+        parts = []
+        for h, ctx, lead, t, first, last in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+            data = np.frombuffer(t, np.uint8)
+            off = np.arange(first, last + 1)
+            value = _hash_at(H.prefix_sums(data), H.powers(len(data) + 1)[1], off + lead, off + lead + LENGTH)
+            parts.append(np.stack([np.full(len(off), h), np.full(len(off), ctx), off, value]))
+        cols = np.concatenate(parts, 1) if parts else np.empty((4, 0), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h", "ctx", "off", "value"])
+
+
+def hot_repeats(stages: Stages, contexts: DataFrame) -> DataFrame:
+    """h, ctx, first, last: repeated windows (offsets from the anchor) of the contexts (h, ctx, lead, bytes)."""
+    gaps = stages.write(contexts.select("h", "ctx", "lead", "bytes").mapInArrow(_gaps, "h bigint, ctx bigint, gap bigint, first bigint, last bigint, core bigint, union bigint"))
+    n = F.count(F.lit(1)).alias("n")
+    some = gaps.join(gaps.groupBy("h", "gap", "core").agg(n).where("n > 1").drop("n"), ["h", "gap", "core"])
+    unions = gaps.groupBy("h", "first", "last", "union").agg(n).where("n > 1").select("h", "first", "last", "union", F.lit(True).alias("all"))
+    some = stages.write(some.join(unions, ["h", "first", "last", "union"], "left").select("h", "ctx", "first", "last", "union", "all"))
+    kind = "h bigint, ctx bigint, off bigint, value bigint"
+
+    def windows(df: DataFrame) -> DataFrame:
+        return contexts.join(df, ["h", "ctx"]).select("h", "ctx", "lead", "bytes", "first", "last").mapInArrow(_windows, kind)
+
+    each = stages.write(windows(some.where("all is null").select("h", "ctx", "first", "last")))
+    # a rim's window may also stand inside a union that repeats; one context stands for each of those
+    one = some.where("all").groupBy("h", "first", "last", "union").agg(F.min("ctx").alias("ctx")).drop("union")
+    seen = each.select("h", "off", "value").union(windows(one).select("h", "off", "value"))
+    twice = seen.groupBy("h", "off", "value").agg(n).where("n > 1").drop("n")
+    found = each.join(twice, ["h", "off", "value"]).select("h", "ctx", F.col("off").alias("first"), F.col("off").alias("last"))
+    return found.union(some.where("all").select("h", "ctx", "first", "last"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,21 +280,19 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     hot = stages.write(mixed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(f"n > {HOT}").select("h"))
     is_hot = not hot.isEmpty()
 
-    def needed(df: DataFrame, kernel, schema: str) -> DataFrame:
-        need = df.groupBy(*key).agg(F.collect_list(F.struct("h", "ctx", "whole", "p", "a", "b")).alias("need"))
-        need = stages.write(need)
-        return once.join(small(need), key).select("text", "need").mapInArrow(kernel, schema)
+    def contexts(df: DataFrame) -> DataFrame:
+        """h, ctx, whole, lead, bytes of the contexts, each once (rows of repeated doc_ids may give one twice)."""
+        need = stages.write(df.groupBy(*key).agg(F.collect_list(F.struct("h", "ctx", "whole", "p", "a", "b")).alias("need")))
+        found = once.join(small(need), key).select("text", "need").mapInArrow(_contexts, "h bigint, ctx bigint, whole boolean, lead bigint, bytes binary")
+        return found.dropDuplicates(["h", "ctx"])
 
     cold = mixed.join(hot, "h", "left_anti") if is_hot else mixed
-    # rows of repeated doc_ids may give a context twice
-    parts = needed(cold, _contexts, "h bigint, ctx bigint, whole boolean, bytes binary").dropDuplicates(["h", "ctx"])
-    found = spread(parts, "h").mapInArrow(_index, "h bigint, ctx bigint, spans array<bigint>")
+    found = spread(contexts(cold).drop("lead"), "h").mapInArrow(_index, "h bigint, ctx bigint, spans array<bigint>")
     found = found.selectExpr("h", "ctx", "explode(transform(sequence(0, cast(size(spans) / 2 as int) - 1), k -> struct(spans[2 * k] as s, spans[2 * k + 1] as e))) as x").selectExpr("h", "ctx", "x.s", "x.e")
     if is_hot:
-        each = stages.write(needed(mixed.join(hot, "h"), _windows, "h bigint, ctx bigint, off bigint, value bigint").distinct())
-        twice = each.groupBy("h", "off", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        more = each.join(twice, ["h", "off", "value"]).join(groups.where("not whole").select("h", "ctx", "p", "a"), ["h", "ctx"]).selectExpr("h", "ctx", "off + p - a as s", "off + p - a as e")
-        found = found.union(more)
+        more = hot_repeats(stages, stages.write(contexts(mixed.join(hot, "h"))))
+        more = more.join(groups.where("not whole").select("h", "ctx", "p", "a"), ["h", "ctx"])
+        found = found.union(more.selectExpr("h", "ctx", "first + p - a as s", "last + p - a as e"))
     marks = rows.join(groups.where("whole").select("h", "ctx"), ["h", "ctx"]).selectExpr(*key, "a", f"b + {LENGTH} as e")
     marks = marks.union(found.join(groups.select("h", "ctx", *key, "a"), ["h", "ctx"]).selectExpr(*key, "a + s as a", f"a + e + {LENGTH} as e"))
     # overlapping marks of a text are one span
