@@ -127,8 +127,8 @@ def work_description(c: Column) -> Column:
     t = text_or_empty(c)
     hits = F.regexp_count(t, _(WORK))
     n, supply = F.length(t), F.substring(t, 1, 160).rlike(SUPPLY)
-    lead = t.rlike(WORK_LEAD) & ~supply & ((hits >= 1) | (n >= 40))
-    special = t.rlike(r"(?i)^(?:excavation\s+of\s+(?:cable\s+)?trench|re-?instatement\s+of)\b") & ~supply
+    lead = t.rlike(WORK_LEAD) & ~supply
+    special = t.rlike(r"(?i)^(?:excavation\s+of\s+(?:cable\s+)?trench\b|re-?instatement\s+of\s+(?:platform|track|road|surface))")
     return (n >= 280) & (hits >= 1) | (hits >= 2) & (n >= 160) | (hits >= 1) & (n >= 500) | lead | special
 
 
