@@ -1,4 +1,4 @@
-"""Makes this package importable in the Python workers of a session."""
+"""Makes a session ready for this package's Python workers."""
 
 from __future__ import annotations
 
@@ -9,10 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of a record batch, where the session keeps Spark's default: texts are long, and a batch is held several times.
+BATCH, DEFAULT = "2000", "10000"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the executors once per application, as ``--py-files`` would."""
+    """Send the package to the executors once per application, as ``--py-files`` would, and bound record batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == DEFAULT:
+        spark.conf.set(key, BATCH)
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parents[1]
