@@ -4,9 +4,9 @@ Words are runs of bytes other than white space and ASCII punctuation, A-Z folded
 
 1. One pass over the whole texts looks up every word ``N``-gram in the benchmark's n-grams and keeps, for documents with
    hits, the hits and the hashes of the words around them.
-2. Spark counts in how many documents each n-gram occurs.  An item's seeds are its rare n-grams: the rarer half of them,
-   at least ``LEAST_SEEDS``, and all in at most ``RARE`` of the documents.  (A popular leak makes all its own n-grams
-   frequent; the rarer half stays its seed set.)
+2. Spark counts in how many documents each n-gram occurs.  An item's seeds are its rare n-grams: those in at most ``RARE``
+   of the documents, or in at most ``TIMES`` as many as the median of the item's n-grams that occur at all.  (A popular
+   leak makes all its own n-grams frequent alike, so they stay seeds; phrases of ordinary prose stand far above.)
 3. Each (passage, item) that shares a seed is aligned locally, word by word (match 2, mismatch -1, gap -1).  The score is
    the best alignment over 2 * min(words of the item, words of the passage); ``threshold`` or more is a copy.
 
@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import hashing as H
 from .shared import Stages, binary, pieces, small
 
-N, LEAST_SEEDS, LEAST_WORDS, RARE, THRESHOLD, CHUNK_WORDS = 4, 5, 8, 1e-4, 0.5, 2_000_000
+N, TIMES, LEAST_WORDS, RARE, THRESHOLD, CHUNK_WORDS = 4, 4, 8, 1e-4, 0.5, 2_000_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 128 else c for c in range(256))
 
 
@@ -172,8 +172,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRE
         seeds: dict[int, list[tuple[int, int]]] = {}
         for k, g in grams.items():
             g = g.view(np.int64).tolist()
-            order = sorted(set(g), key=lambda x: (df.get(x, 0), x))
-            rare = set(order[: max(LEAST_SEEDS, -(-len(order) // 2))]) | {x for x in order if df.get(x, 0) <= RARE * n_docs}
+            met = sorted(df[x] for x in set(g) if x in df)
+            most = max(RARE * n_docs, TIMES * met[(len(met) - 1) // 2] if met else 0)
+            rare = {x for x in g if df.get(x, most + 1) <= most}
             for q, x in enumerate(g):
                 if x in rare:
                     seeds.setdefault(x, []).append((k, q))
