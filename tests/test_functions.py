@@ -40,7 +40,7 @@ def column(spark, f, values):
         (names.spec_numbers, ["as per IRS : S-63/2014 and RDSO / SPN / 144/2006, again IRS:S-63/2014", "specification only"], ["IRS:S-63/2014; RDSO/SPN/144/2006", None]),
         (names.warranty, ["Warranty period: 24 months", "24 months"], ["24 months", None]),
         (names.inspection_agency, ["(Inspection: RDSO)", "none"], ["RDSO", None]),
-        (names.make_brand, ["relay M/s Acme make", "lamp (BRIGHT MAKE)", "make: Zed or similar", "to make good"], ["Acme", "BRIGHT", None, None]),
+        (names.make_brand, ["relay M/s Acme make", "lamp (BRIGHT MAKE)", "make: Zed or similar", "to make good"], ["Acme", "BRIGHT", "Zed", None]),
     ],
 )
 def test_columns(spark, f, given, want):
