@@ -180,9 +180,10 @@ def drop_near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80,
     """
     stages = Stages(docs.sparkSession, "unique")
     found = stages.write(near_duplicates(docs, words=words, percent=percent, id_col=id_col, text_col=text_col))
-    out = docs.join(small(found.where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()), F.col(id_col) == F.col("dropped_id"), "left_anti")
+    dropped = small(found.where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct())
+    out = docs.join(dropped, docs[id_col] == dropped["dropped_id"], "left_anti")
     again = stages.write(found.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_id")))
     if again.isEmpty():
         return out
-    some = out.join(again, F.col(id_col) == F.col("again_id"), "left_semi").dropDuplicates([id_col])
-    return out.join(again, F.col(id_col) == F.col("again_id"), "left_anti").union(some)
+    some = out.join(again, out[id_col] == again["again_id"], "left_semi").dropDuplicates([id_col])
+    return out.join(again, out[id_col] == again["again_id"], "left_anti").union(some)
