@@ -1,5 +1,7 @@
 """Operators on small frames of our own wording."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from docloom.operators import fields, items, lines, memory, merge, tables
@@ -95,6 +97,25 @@ def test_chunks_and_model_rows(spark):
     assert [(x.description, x.item_qty, x.s_no, x.unit_rate) for x in r] == [("Relay panel", "2", None, None)]
 
 
+def test_chunks_hold_the_whole_text(spark):
+    rng = random.Random(3)
+    long = " ".join("".join(rng.choices("abcé😀", k=rng.randint(1, 9))) + rng.choice(["", "", ".", " Schedule"]) for _ in range(6000))
+    texts = {1: long, 2: "x" * 25_000, 3: "", 4: None, 5: "short one"}
+    rows = memory.chunk_text(spark.createDataFrame(list(texts.items()), "doc_id int, text string"), size=500).collect()
+    for k, t in texts.items():
+        got = [r.text for r in sorted((r for r in rows if r.doc_id == k), key=lambda r: r.chunk)]
+        assert "".join(got).replace(" ", "") == (t or "").replace(" ", "") and all(len(x) <= 500 for x in got)
+    assert sum(r.doc_id == 2 for r in rows) == 50
+
+
+def test_h23_chunks_cover_documents(spark, tmp_path):
+    from docloom.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, "word. " * 9000)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["h23_chunks"](spark, str(tmp_path)).orderBy("chunk").collect()
+    assert "".join(r.text for r in got).replace(" ", "") == "word." * 9000
+
+
 def test_pages_and_sinks(spark, tmp_path):
     a = spark.createDataFrame([("d", 1, "x" * 50, 50), ("d", 2, "y", 1)], "doc_id string, page_number int, text string, char_count int")
     b = spark.createDataFrame([("d", 2, "y" * 60, 60), ("e", 1, "alone", 5)], "doc_id string, page_number int, text string, char_count int")
