@@ -116,6 +116,16 @@ def test_h23_chunks_cover_documents(spark, tmp_path):
     assert "".join(r.text for r in got).replace(" ", "") == "word." * 9000
 
 
+def test_search_and_rules_take_all_rows(spark):
+    q = spark.range(2500).selectExpr("id as q_id", "array(1.0D, cast(id as double)) as q_vec")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id int, embedding array<double>")
+    got = {r.q_id: r.vec_id for r in memory.top_k(q, v, k=1).collect()}
+    assert got == {k: 1 if k <= 1 else 2 for k in range(2500)}
+    d = spark.createDataFrame([(1, "see mark10400 here")], "doc_id int, text string")
+    rules = spark.range(10_500).selectExpr("'f' as field", "cast(id as int) as priority", r"concat('mark', id, '\\b') as pattern")
+    assert [r.pattern for r in fields.match_rules(d, rules).collect()] == [r"mark10400\b"]
+
+
 def test_pages_and_sinks(spark, tmp_path):
     a = spark.createDataFrame([("d", 1, "x" * 50, 50), ("d", 2, "y", 1)], "doc_id string, page_number int, text string, char_count int")
     b = spark.createDataFrame([("d", 2, "y" * 60, 60), ("e", 1, "alone", 5)], "doc_id string, page_number int, text string, char_count int")
