@@ -1,14 +1,14 @@
-"""Operator 6: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Operator 6: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
 Words are runs of bytes other than white space and ASCII punctuation, A-Z folded; all matching is on word hashes.
 
 1. One pass over the whole texts looks up every word ``N``-gram in the benchmark's n-grams and keeps, for documents with
    hits, the hits and the hashes of the words around them.
-2. Spark counts in how many documents each n-gram occurs.  An item's seeds are its rare n-grams: those in at most ``RARE``
-   of the documents, or in at most ``TIMES`` as many as the median of the item's n-grams that occur at all.  (A popular
-   leak makes all its own n-grams frequent alike, so they stay seeds; phrases of ordinary prose stand far above.)
-3. Each (passage, item) that shares a seed is aligned locally, word by word (match 2, mismatch -1, gap -1).  The score is
-   the best alignment over 2 * min(words of the item, words of the passage); ``threshold`` or more is a copy.
+2. Every n-gram of an item that a passage holds is a seed of that pair, however frequent it is: the copies of one edited
+   variant make just the n-grams frequent that survive in them.  A pair is left out only if the passage holds so few of
+   the item's words that no alignment can reach ``threshold``.
+3. The other pairs are aligned locally, word by word (match 2, mismatch -1, gap -1).  The score is the best alignment over
+   2 * min(words of the item, words of the passage); ``threshold`` or more is a copy.
 
 The benchmark travels to the workers in chunks of at most ``CHUNK_WORDS`` words; a larger one takes several passes.
 
@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import hashing as H
 from .shared import Stages, binary, pieces, small
 
-N, TIMES, LEAST_WORDS, RARE, THRESHOLD, CHUNK_WORDS = 4, 4, 8, 1e-4, 0.5, 2_000_000
+N, LEAST_WORDS, THRESHOLD, CHUNK_WORDS = 4, 8, 0.5, 2_000_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 128 else c for c in range(256))
 
 
@@ -123,7 +123,16 @@ def _align(items: dict[int, tuple[object, np.ndarray]], seeds: dict[int, list[tu
                 for p, g in zip(at, grams, strict=True):
                     for item, q in seeds.get(g, ()):
                         met.setdefault(item, []).append(p - q)
-                for item, shifts in met.items():
+                if not met:
+                    continue
+                # a match is worth 2 at most, so the words of the item that occur at all bound its score
+                own = [items[k][1] for k in met]
+                sizes = np.array([len(a) for a in own])
+                held = np.add.reduceat(np.isin(np.concatenate(own), w), np.cumsum(sizes) - sizes, dtype=np.int64)
+                able = held >= threshold * np.maximum(np.minimum(sizes, len(w)), LEAST_WORDS)
+                for (item, shifts), near in zip(met.items(), able.tolist(), strict=True):
+                    if not near:
+                        continue
                     name, a = items[item]
                     shifts.sort()
                     groups = [[shifts[0], shifts[0], 1]]
@@ -157,7 +166,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRE
     tests = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
     words = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     chunks = max(1, -(-int(words) // (5 * CHUNK_WORDS)))
-    n_docs = docs.count()
     out = None
     for c in range(chunks):
         part = tests if chunks == 1 else tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == c)
@@ -167,17 +175,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRE
         every = np.unique(np.concatenate(list(grams.values()))) if grams else np.empty(0, np.uint64)
         longest = max((len(w) for _, w in items.values()), default=0)
         hits = stages.write(some.mapInArrow(_hits(every, longest), f"doc_id {doc_kind}, start bigint, at array<bigint>, grams array<bigint>, words binary"))
-        counts = hits.select(F.explode(F.array_distinct("grams")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).limit(len(every)).collect()
-        df = {r.g: r.n for r in counts}
         seeds: dict[int, list[tuple[int, int]]] = {}
         for k, g in grams.items():
-            g = g.view(np.int64).tolist()
-            met = sorted(df[x] for x in set(g) if x in df)
-            most = max(RARE * n_docs, TIMES * met[(len(met) - 1) // 2] if met else 0)
-            rare = {x for x in g if df.get(x, most + 1) <= most}
-            for q, x in enumerate(g):
-                if x in rare:
-                    seeds.setdefault(x, []).append((k, q))
+            for q, x in enumerate(g.view(np.int64).tolist()):
+                seeds.setdefault(x, []).append((k, q))
         rows = hits.mapInArrow(_align(items, seeds, to_arrow_type(item_type), threshold), f"doc_id {doc_kind}, item_id {item_type.simpleString()}, score double, n_seeds bigint, word_start bigint, word_end bigint")
         out = rows if out is None else out.union(rows)
     return out

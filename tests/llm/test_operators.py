@@ -185,6 +185,15 @@ def test_leaks(spark):
     assert find_leaks(docs, bench.limit(0)).collect() == [] and find_leaks(docs.limit(0), bench).collect() == []
 
 
+def test_leaks_of_popular_edited_copies(spark):
+    rng = np.random.default_rng(15)
+    item = words(rng, 30, 3000)
+    edited = " ".join("changed" if k % 6 == 5 else w for k, w in enumerate(item.split()))
+    rows = [(k, f"{words(rng, 30)} {edited if k < 200 else item if k < 203 else words(rng, 30)} {words(rng, 30)}") for k in range(1000)]
+    got = find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(203)) and len(got) == 203
+
+
 def test_alignment_equals_table():
     rng = np.random.default_rng(6)
     for _ in range(40):
