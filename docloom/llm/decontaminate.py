@@ -1,6 +1,7 @@
 """Operator 6: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
-Words are runs of bytes other than white space and ASCII punctuation, A-Z folded; all matching is on word hashes.
+Words are runs of bytes other than white space and ASCII punctuation, A-Z folded; in scripts without spaces (Han, kana,
+Thai, Lao, Burmese, Khmer) each character is a word.  All matching is on word hashes.
 
 1. One pass over the whole texts looks up every word ``N``-gram in the benchmark's n-grams and keeps, for documents with
    hits, the hits and the hashes of the words around them.
@@ -8,17 +9,20 @@ Words are runs of bytes other than white space and ASCII punctuation, A-Z folded
    variant make just the n-grams frequent that survive in them.  A pair is left out only if the passage holds so few of
    the item's words that no alignment can reach ``threshold``.
 3. The other pairs are aligned locally, word by word (match 2, mismatch -1, gap -1).  The score is the best alignment over
-   2 * min(words of the item, words of the passage); ``threshold`` or more is a copy.
+   2 * min(words of the item, words of the passage); ``threshold`` or more is a copy.  A document shorter than the item
+   must also align ``LEAST_WORDS`` words' worth and ``SHARE`` of the item, or else ``threshold`` of the item.
+4. Items of under ``LEAST_WORDS`` words (``LEAST_CHARS``, if most of them are characters of scripts without spaces) are
+   copies only as a whole: their words in one run, or, under ``N`` words, as all words of the document.
 
 The benchmark travels to the workers in chunks of at most ``CHUNK_WORDS`` words; a larger one takes several passes.
 
-Defined results: null and empty texts have no hits; items with under ``LEAST_WORDS`` words are not looked for (they
-cannot be told from chance); repeated rows and items give repeated pairs; a null doc_id gives pairs with null doc_id.
-Further columns are ignored.
+Defined results: null and empty texts have no hits; repeated rows and items give repeated pairs; a null doc_id gives pairs
+with null doc_id.  Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +34,40 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import hashing as H
 from .shared import Stages, binary, pieces, small
 
-N, LEAST_WORDS, THRESHOLD, CHUNK_WORDS = 4, 8, 0.5, 2_000_000
+N, LEAST_WORDS, LEAST_CHARS, SHARE, THRESHOLD, CHUNK_WORDS = 4, 8, 20, 0.25, 0.5, 2_000_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 128 else c for c in range(256))
 
 
+#: UTF-8 of Han, kana, Thai, Lao, Burmese and Khmer characters, and of CJK and full-width punctuation.
+_UNSPACED = re.compile(rb"\xe3\x81[\x80-\xbf]|\xe3[\x82\x83\x90-\xbf][\x80-\xbf]|[\xe4-\xe9][\x80-\xbf]{2}|\xef[\xa4-\xab][\x80-\xbf]|\xf0[\xa0-\xb3][\x80-\xbf]{2}|\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]")
+_MARKS = re.compile(rb"\xe3\x80[\x80-\x82\x88-\x9f]|\xef\xbc[\x81-\x8f\x9a-\xa0]|\xef\xbd[\x9b-\xa5]")
+
+
 def word_ids(text: bytes | None) -> np.ndarray:
-    data = np.frombuffer((text or b"").translate(_FOLD), np.uint8)
+    text = text or b""
+    if not text.isascii():
+        text = _UNSPACED.sub(rb" \g<0> ", _MARKS.sub(b" ", text))
+    data = np.frombuffer(text.translate(_FOLD), np.uint8)
     return H.word_hashes(data, *H.words(data))
 
 
+def short(text: bytes, n: int) -> bool:
+    """Whether an item of n words is looked for as a whole only."""
+    return n < LEAST_WORDS or n < LEAST_CHARS and 2 * len(_UNSPACED.findall(text)) > n
+
+
+def keys(words: np.ndarray) -> np.ndarray:
+    """The hashes of the n-grams; of all words, if they are fewer."""
+    return H.shingles(words, min(N, len(words)))
+
+
+def places(a: np.ndarray, w: np.ndarray) -> list[int]:
+    """Where the words of a short item start in a passage; an item under N words must be all of it."""
+    if len(w) < len(a) or len(a) < N and len(w) != len(a):
+        return []
+    return np.flatnonzero((np.lib.stride_tricks.sliding_window_view(w, len(a)) == a).all(1)).tolist()
+
+
 class Grams:
     """A set of hashes with a bitmap in front."""
 
@@ -65,9 +94,9 @@ def _hits(grams: np.ndarray, longest: int):
             ids, rows = b.column(0).to_pylist(), []
             for i, t in zip(ids, binary(b.column(1)), strict=True):
                 w = word_ids(t)
-                if len(w) < N:
+                if not len(w):
                     continue
-                g = H.shingles(w, N)
+                g = keys(w)
                 p = found.at(g)
                 if not len(p):
                     continue
@@ -113,7 +142,7 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best, *span
 
 
-def _align(items: dict[int, tuple[object, np.ndarray]], seeds: dict[int, list[tuple[int, int]]], kind: pa.DataType, threshold: float):
+def _align(items: dict[int, tuple[object, np.ndarray, bool]], seeds: dict[int, list[tuple[int, int]]], kind: pa.DataType, threshold: float):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -129,11 +158,16 @@ def _align(items: dict[int, tuple[object, np.ndarray]], seeds: dict[int, list[tu
                 own = [items[k][1] for k in met]
                 sizes = np.array([len(a) for a in own])
                 held = np.add.reduceat(np.isin(np.concatenate(own), w), np.cumsum(sizes) - sizes, dtype=np.int64)
-                able = held >= threshold * np.maximum(np.minimum(sizes, len(w)), LEAST_WORDS)
+                whole = np.array([items[k][2] for k in met])
+                able = held >= np.where(whole, sizes, threshold * np.maximum(np.minimum(sizes, len(w)), LEAST_WORDS))
                 for (item, shifts), near in zip(met.items(), able.tolist(), strict=True):
                     if not near:
                         continue
-                    name, a = items[item]
+                    name, a, exact = items[item]
+                    if exact:
+                        if found := places(a, w):
+                            rows.append((i, name, 1.0, len(shifts), start + found[0], start + found[0] + len(a)))
+                        continue
                     shifts.sort()
                     groups = [[shifts[0], shifts[0], 1]]
                     for s in shifts[1:]:
@@ -146,6 +180,8 @@ def _align(items: dict[int, tuple[object, np.ndarray]], seeds: dict[int, list[tu
                         lo, hi = max(0, lo - len(a) // 2), min(len(w), hi + len(a) + len(a) // 2)
                         score, s, e = align(a, w[lo:hi])
                         value = score / (2 * max(min(len(a), len(w)), LEAST_WORDS))
+                        if score < 2 * min(max(LEAST_WORDS, SHARE * len(a)), threshold * len(a)):
+                            continue
                         if top is None or value > top[0]:
                             top = (value, n, start + lo + s, start + lo + e)
                     if top and top[0] >= threshold:
@@ -169,11 +205,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRE
     out = None
     for c in range(chunks):
         part = tests if chunks == 1 else tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == c)
-        loaded = [(r.item_id, word_ids(r.text.encode("utf-8", "surrogatepass"))) for r in part.collect()]
-        items = {k: x for k, x in enumerate(sorted((x for x in loaded if len(x[1]) >= LEAST_WORDS), key=lambda x: (x[0] is None, x[0] if x[0] is not None else 0, x[1].tobytes())))}
-        grams = {k: H.shingles(w, N) for k, (_, w) in items.items()}
+        loaded = [(r.item_id, w, short(t, len(w))) for r in part.collect() for t in (r.text.encode("utf-8", "surrogatepass"),) for w in (word_ids(t),) if len(w)]
+        items = {k: x for k, x in enumerate(sorted(loaded, key=lambda x: (x[0] is None, x[0] if x[0] is not None else 0, x[1].tobytes())))}
+        grams = {k: keys(w) for k, (_, w, _) in items.items()}
         every = np.unique(np.concatenate(list(grams.values()))) if grams else np.empty(0, np.uint64)
-        longest = max((len(w) for _, w in items.values()), default=0)
+        longest = max((len(w) for _, w, _ in items.values()), default=0)
         hits = stages.write(some.mapInArrow(_hits(every, longest), f"doc_id {doc_kind}, start bigint, at array<bigint>, grams array<bigint>, words binary"))
         seeds: dict[int, list[tuple[int, int]]] = {}
         for k, g in grams.items():

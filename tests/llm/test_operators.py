@@ -194,6 +194,18 @@ def test_leaks_of_popular_edited_copies(spark):
     assert {r.doc_id for r in got} == set(range(203)) and len(got) == 203
 
 
+def test_leaks_of_short_items_and_unspaced_scripts(spark):
+    rng = np.random.default_rng(16)
+    long = words(rng, 15, 3000)
+    han = "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 3000, 40))
+    other = "".join(chr(0x5E00 + int(x)) for x in rng.integers(0, 3000, 60))
+    bench = [(1, "where does the green river end"), (2, "blue moon"), (3, long), (4, han), (5, han[:9][::-1])]
+    four = " ".join(long.split()[:4])
+    rows = [(1, "So: where does the GREEN river end? " + words(rng, 20)), (2, "Blue moon!"), (3, "a blue moon rose"), (4, "where does the green lake end"), (5, four), (6, "we say " + four + " ok"), (7, " ".join(long.split()[2:12])), (8, other + han + other), (9, other), (10, f"{other}{han[:9][::-1]}。{other}"), (11, other + han[:9][::-1][:6] + other)]
+    got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")).collect()}
+    assert got == {(1, 1), (2, 2), (7, 3), (8, 4), (10, 5)}
+
+
 def test_alignment_equals_table():
     rng = np.random.default_rng(6)
     for _ in range(40):
