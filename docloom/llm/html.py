@@ -1,10 +1,11 @@
 """Operator 5: main text of web pages by consensus host paths.
 
 1. Each page is parsed once: its containers are scored by the text of their blocks, less links, and the page votes for the
-   generalised tag-class path (digits masked, ids left out) of its best container.
+   generalised tag-class path (digits masked, ids left out) of its best container, widened to the outermost article
+   around it and further containers that add text with few links.
 2. Spark adds the votes by host and path; a host's winner has the most weight.
-3. Each page is parsed again and its text taken from the containers on the winning path; a page without one uses its own
-   best container.
+3. Each page is parsed again and its text taken from the containers on the winning path, widened on that page in the same
+   way; a page without one uses its own best container.
 
 Boilerplate subtrees (navigation, site headers and footers, sidebars, notices, adverts, forms, comments, hidden
 elements) are left out by tag, role and class.  Winners are broadcast while they are at most ``MAX_BROADCAST`` hosts;
@@ -155,11 +156,11 @@ def parse(page: str) -> list[tuple[str, tuple[str, ...], int]]:
 
 def best(blocks: list[tuple[str, tuple[str, ...], int]]) -> tuple[str, float]:
     """Path of the container with the largest score, and the score: a block counts in full for its nearest container and by
-    a third for the next two."""
+    a third of the last for each further one."""
     score: dict[str, float] = {}
     for text, around, links in blocks:
         worth = (len(text) - 2 * links) * (1 + 0.1 * min(text.count(","), 10))
-        for k, path in enumerate(reversed(around[-3:])):
+        for k, path in enumerate(reversed(around)):
             score[path] = score.get(path, 0.0) + worth / 3**k
     if not score:
         return "", 0.0
@@ -167,15 +168,34 @@ def best(blocks: list[tuple[str, tuple[str, ...], int]]) -> tuple[str, float]:
     return path, score[path]
 
 
+def widen(blocks: list[tuple[str, tuple[str, ...], int]], path: str) -> str:
+    """The outermost article around a path, and from there outwards each container that adds text of which under a quarter
+    is in links; the body only if no article or main is around."""
+    around = next((a for _, a, _ in blocks if path in a), (path,))
+    outer = around[: around.index(path)][::-1]
+    tags = [p.rsplit(">", 1)[-1].split(".")[0] for p in (path, *outer)]
+    inside = "article" in tags or "main" in tags
+    first = max((k for k, tag in enumerate(tags) if tag == "article"), default=0)
+    path = (path, *outer)[first]
+    for p, tag in zip(outer[first:], tags[first + 1 :], strict=True):
+        if tag == "body" and inside:
+            continue
+        added = [(len(t), n) for t, a, n in blocks if p in a and path not in a]
+        if added and 4 * sum(n for _, n in added) < sum(n for n, _ in added):
+            path = p
+    return path
+
+
 def extract(blocks: list[tuple[str, tuple[str, ...], int]], winner: str | None) -> str:
     """Blocks inside containers on the winning path, or on the page's own best path."""
     path = winner if winner is not None and any(winner in around for _, around, _ in blocks) else best(blocks)[0]
+    path = widen(blocks, path)
     return "\n".join(text for text, around, _ in blocks if path in around)
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches):
-        found = [best(parse(x or "")) for x in b.column(1).to_pylist()]
+        found = [(widen(x, p), s) for x in (parse(x or "") for x in b.column(1).to_pylist()) for p, s in (best(x),)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in found], pa.string()), pa.array([min(s, 1e4) for _, s in found], pa.float64())], names=["host", "path", "score"])
 
 

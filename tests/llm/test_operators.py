@@ -171,6 +171,24 @@ def test_html(spark):
     assert (got[3].text, got[4].text, got[5].text, got[6].text) == ("", "", "plain words", "only\nthis")
 
 
+NESTED = [
+    ("<article><h1>Head</h1><p>Lead.</p><div class=content><p>LONG</p></div></article>", "Head\nLead.\nLONG"),
+    ("<article><section class=a><p>First part.</p></section><section class=b><p>LONG</p></section></article>", "First part.\nLONG"),
+    ("<article><p>Lead.</p><div class=a><div class=b><div class=c><div class=d><p>LONG</p></div></div></div></div></article>", "Lead.\nLONG"),
+    ("<div class=page><p>Lead.</p><div class=text><p>LONG</p></div></div>", "Lead.\nLONG"),
+]
+
+
+@pytest.mark.parametrize("page, text", NESTED)
+def test_html_keeps_nested_text(spark, page, text):
+    long = "A long paragraph, with words and more words, goes on. " * 12
+    page = f"<html><body><nav><a href=x>Menu</a></nav><div class=links><a href=y>one link</a> <a href=z>two link</a></div>{page.replace('LONG', long)}<footer>end</footer></body></html>"
+    rows = [(k, f"http://h.example/{k}", page) for k in range(3)]
+    want = text.replace("LONG", long.strip())
+    assert html.extract(html.parse(page), None) == want
+    assert {r.text for r in html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()} == {want}
+
+
 def test_leaks(spark):
     rng = np.random.default_rng(5)
     items = [(k, words(rng, 40, 3000)) for k in range(6)]
