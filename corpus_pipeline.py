@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.decontaminate import drop_leaks
-from docloom.llm.langid import keep_identified, learn
+from docloom.llm.langid import keep_identified, learn, limits
 from docloom.llm.minhash import drop_near_duplicates
 from docloom.llm.mixing import mix
 from docloom.llm.secrets import redact_secrets
@@ -17,8 +17,10 @@ from docloom.llm.shared import Stages
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; profiles are learnt from the stage's own labelled input."""
-    return keep_identified(docs, learn(docs))
+    """Documents whose best language is at least as near as labelled texts of their length are to their own; profiles and
+    limits are learnt from the stage's own labelled input."""
+    prototypes = learn(docs)
+    return keep_identified(docs, prototypes, limits(docs, prototypes))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

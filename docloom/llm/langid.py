@@ -9,6 +9,12 @@ so the trigram space is bounded for any script.  Runs of other characters are on
 
 Training adds integer vectors per task and then in Spark; only languages * dimensions numbers reach the driver.
 
+:func:`limits` learns what counts as a known language: of the labelled texts of each length class (powers of two of
+trigrams) the cosine with their own language that all but ``STRAYS`` of them reach, times ``SLACK``.  A class with fewer
+than ``LEAST`` such texts takes the limit of the next shorter one, the shortest 0, so short texts are kept in doubt.
+:func:`keep_identified` drops a text without a letter, one whose best cosine is under the limit of its length (noise, or a
+language or script never learnt), and every text if nothing was learnt.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing can be
 learnt.  The score is the cosine, 0 at least.  Rows with null lang or empty vectors teach nothing; a null doc_id is not
 held out.  Ties go to the smaller language name.
@@ -28,6 +34,8 @@ from ..plans.deploy import ship
 
 DIM, CLASSES, CAPACITY, BLOCK = 512, 128, 1 << 16, 256
 MAX_LANGUAGES = 10_000
+#: Share of labelled texts under a class's limit before the slack, the slack, labelled texts a class needs, steps of a cosine.
+STRAYS, SLACK, LEAST, STEPS = 0.002, 0.7, 50, 400
 
 
 @lru_cache(maxsize=1)
@@ -80,7 +88,11 @@ class Memory:
 
     def bundle(self, texts: list[str | None]) -> np.ndarray:
         """One bundled vector per text; a long text is bundled in pieces, so memory stays bounded."""
-        out = np.zeros((len(texts), DIM))
+        return self.counted(texts)[0]
+
+    def counted(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The bundled vectors and the numbers of trigrams."""
+        out, number = np.zeros((len(texts), DIM)), np.zeros(len(texts), np.int64)
         pieces = [(i, g[o : o + CAPACITY // 2]) for i, t in enumerate(texts) if t for g in (trigrams(t),) for o in range(0, len(g), CAPACITY // 2)]
         k = 0
         while k < len(pieces):
@@ -95,7 +107,8 @@ class Memory:
             for i, r in enumerate(rows):
                 counts[i] = np.bincount(r, minlength=self.n)
             np.add.at(out, owner, counts @ self.vectors[: self.n])
-        return out
+            np.add.at(number, owner, [len(r) for r in rows])
+        return out, number
 
 
 @lru_cache(maxsize=1)
@@ -166,8 +179,43 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str
     return some.mapInArrow(_predict(prototypes), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], *, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose language is ``und`` or whose score is under min_score; all columns stay (0: only ``und`` goes)."""
+def _class(n: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(n, 1)).astype(np.int64)
+
+
+def _own(prototypes: dict[str, np.ndarray]):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((40, STEPS + 1), np.int64)
+        for b in batches:
+            lang = b.column(0).to_pylist()
+            for o, texts in texts_of(b, 1):
+                v, n = memory().counted(texts)
+                own = np.array([prototypes.get(x, np.zeros(DIM)) for x in lang[o : o + len(texts)]]).reshape(-1, DIM)
+                cos = np.einsum("ij,ij->i", v, own) / np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-300)
+                np.add.at(seen, (_class(n)[n > 0], (np.clip(cos[n > 0], 0, 1) * STEPS).astype(np.int64)), 1)
+        k, step = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(step), pa.array(seen[k, step])], names=["size", "step", "n"])
+
+    return kernel
+
+
+def limits(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text", lang_col: str = "lang") -> np.ndarray:
+    """The least cosine of a known language by length class, from all rows of docs with a learnt language."""
+    ship(docs.sparkSession)
+    some = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col))
+    seen = np.zeros((40, STEPS + 1), np.int64)
+    for r in some.mapInArrow(_own(prototypes), "size bigint, step bigint, n bigint").groupBy("size", "step").agg(F.sum("n").alias("n")).collect():
+        seen[r["size"], r.step] = r.n
+    out, last = np.zeros(40), 0.0
+    for k, row in enumerate(seen):
+        if row.sum() >= LEAST:
+            last = SLACK * int(np.searchsorted(np.cumsum(row), STRAYS * row.sum(), "right")) / STEPS
+        out[k] = last
+    return out
+
+
+def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], least: np.ndarray, *, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose language is not recognised (see the module's text); all columns stay."""
     ship(docs.sparkSession)
     k = docs.columns.index(text_col)
     matrix = np.array(list(prototypes.values())).reshape(len(prototypes), DIM)
@@ -176,10 +224,10 @@ def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], *, min_s
         for b in batches:
             keep = []
             for _, texts in texts_of(b, k):
-                v = memory().bundle(texts)
+                v, n = memory().counted(texts)
                 norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-                top = (v @ matrix.T / np.maximum(norm, 1e-300)[:, None]).max(1, initial=0)
-                keep.append((norm > 0) & (top >= min_score))
+                top = (v @ matrix.T / np.maximum(norm, 1e-300)[:, None]).max(1, initial=-1)
+                keep.append((norm > 0) & (top >= least[_class(n)]))
             yield b.filter(pa.array(np.concatenate(keep) if keep else np.empty(0, bool)))
 
     return docs.mapInArrow(kernel, docs.schema)
