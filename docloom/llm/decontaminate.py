@@ -5,14 +5,15 @@ Thai, Lao, Burmese, Khmer) each character is a word.  All matching is on word ha
 
 1. One pass over the whole texts looks up every word ``N``-gram in the benchmark's n-grams and keeps, for documents with
    hits, the hits and the hashes of the words around them.
-2. Every n-gram of an item that a passage holds is a seed of that pair, however frequent it is: the copies of one edited
-   variant make just the n-grams frequent that survive in them.  A pair is left out only if the passage holds so few of
+2. Rare means rare in language, not in the corpus: every n-gram of an item that a passage holds is a seed of that pair,
+   however many copies it has, as the copies of one edited variant make just the n-grams frequent that survive in them.
+   Three words find copies with every fourth word edited.  A pair is left out only if the passage holds so few of
    the item's words that no alignment can reach ``threshold``.
 3. The other pairs are aligned locally, word by word (match 2, mismatch -1, gap -1).  The score is the best alignment over
    2 * min(words of the item, words of the passage); ``threshold`` or more is a copy.  A document shorter than the item
    must also align ``LEAST_WORDS`` words' worth and ``SHARE`` of the item, or else ``threshold`` of the item.
 4. Items of under ``LEAST_WORDS`` words (``LEAST_CHARS``, if most of them are characters of scripts without spaces) are
-   copies only as a whole: their words in one run, or, under ``N`` words, as all words of the document.
+   copies only as a whole: their words in one run, or, under ``WHOLE`` words, as all words of the document.
 
 The benchmark travels to the workers in chunks of at most ``CHUNK_WORDS`` words; a larger one takes several passes.
 
@@ -34,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import hashing as H
 from .shared import Stages, binary, pieces, small
 
-N, LEAST_WORDS, LEAST_CHARS, SHARE, THRESHOLD, CHUNK_WORDS = 4, 8, 20, 0.25, 0.5, 2_000_000
+N, WHOLE, LEAST_WORDS, LEAST_CHARS, SHARE, THRESHOLD, CHUNK_WORDS = 3, 4, 8, 20, 0.25, 0.5, 2_000_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 128 else c for c in range(256))
 
 
@@ -62,8 +63,8 @@ def keys(words: np.ndarray) -> np.ndarray:
 
 
 def places(a: np.ndarray, w: np.ndarray) -> list[int]:
-    """Where the words of a short item start in a passage; an item under N words must be all of it."""
-    if len(w) < len(a) or len(a) < N and len(w) != len(a):
+    """Where the words of a short item start in a passage; an item under WHOLE words must be all of it."""
+    if len(w) < len(a) or len(a) < WHOLE and len(w) != len(a):
         return []
     return np.flatnonzero((np.lib.stride_tricks.sliding_window_view(w, len(a)) == a).all(1)).tolist()
 
