@@ -27,8 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLOCK_ROWS, Stages, hubs, labels, linked, runs, spread
+from .shared import Stages, hubs, labels, linked, runs, spread
 
+#: Vectors of a block of a cluster or component (a block of pairs is one matrix product).
+TILE = 1024
 #: Chance that a pair at the threshold shares no band, and standard deviations of the confidence bound.
 MISS, SIGMAS = 1e-4, 4.5
 
@@ -141,7 +143,7 @@ def count_links(total: int, threshold: float):
     return kernel
 
 
-def near_embeddings(vectors: DataFrame, *, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_embeddings(vectors: DataFrame, *, threshold: float = 0.95, tile: int = TILE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (see the module's text)."""
     spark = vectors.sparkSession
     stages = Stages(spark, "embedding")
@@ -154,9 +156,9 @@ def near_embeddings(vectors: DataFrame, *, threshold: float = 0.95, id_col: str
     classes = stages.write(classes)
     pairs = hubs(stages, classes.select("node", F.explode("bands").alias("bucket")))
     payload = classes.selectExpr("node", "1 as weight", "code", "factor", "unit")
-    comps = stages.write(linked(stages, pairs, payload, connect(total, threshold)))
+    comps = stages.write(linked(stages, pairs, payload, connect(total, threshold), block_rows=tile))
     whole = comps.union(comps.select("component", "component").distinct())
-    sizes = whole.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("nb"))
+    sizes = whole.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("nb"))
     parts = whole.join(sizes, "component").selectExpr("component", "node", "nb", "cast(pmod(xxhash64(node), nb) as int) as block")
     parts = parts.selectExpr("component", "node", "block", "explode(sequence(0, nb - 1)) as other").selectExpr("component", "node", "block", "least(block, other) as i", "greatest(block, other) as j")
     parts = parts.join(classes.select("node", "copies", "code", "factor", "unit"), "node")

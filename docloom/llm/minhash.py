@@ -6,8 +6,9 @@
    none with probability 3e-6).  Each bucket's most connected class is its hub; the distinct (hub, class) rows form
    clusters, so a group of n near copies costs n rows and not n * n.
 3. Within a cluster's block, pairs are compared by batches of 16 signature values.  After each batch the posterior of
-   the similarity (Beta(1 + matches, 1 + misses)) prunes pairs whose chance of reaching the threshold is under
-   ``MISS``; the survivors are verified exactly, 100 * |A n B| >= percent * |A u B| on the full sets.
+   the similarity (Beta(1 + matches, 1 + misses)) prunes pairs whose chance of reaching the threshold is under ``miss``.
+   This runs on signatures alone; only classes with a surviving pair in a block are joined with their texts, and the
+   survivors are verified exactly, 100 * |A n B| >= percent * |A u B| on the full sets.
 4. Links become components by star contraction in Spark.
 
 Defined results: a null or wordless text has the empty set and links with nothing; repeated rows and documents with
@@ -31,7 +32,7 @@ from .shared import Stages, binary, components, hubs, labels, linked, pieces, ru
 
 BANDS, ROWS, BATCH = 24, 4, 16
 SIZE = BANDS * ROWS
-#: Chance of pruning a pair whose similarity does reach the threshold, for each look at the signatures.
+#: Default chance of pruning a pair whose similarity does reach the threshold, for each look at the signatures.
 MISS = 1e-7
 
 _A = np.random.default_rng(101).integers(0, 2**63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,8 +63,8 @@ def sketch(width: int):
 
 
 @lru_cache
-def least_matches(threshold: float) -> tuple[int, ...]:
-    """For each number of batches seen, the fewest matches that keep a pair: P(similarity >= threshold) >= MISS."""
+def least_matches(threshold: float, miss: float = MISS) -> tuple[int, ...]:
+    """For each number of batches seen, the fewest matches that keep a pair: P(similarity >= threshold) >= miss."""
     grid = (np.arange(20_000) + 0.5) / 20_000
     high = grid >= threshold
     out = []
@@ -71,15 +72,15 @@ def least_matches(threshold: float) -> tuple[int, ...]:
         m = np.arange(n + 1)[:, None]
         logp = m * np.log(grid) + (n - m) * np.log1p(-grid)
         p = np.exp(logp - logp.max(1, keepdims=True))
-        out.append(int(np.argmax(p[:, high].sum(1) / p.sum(1) >= MISS)))
+        out.append(int(np.argmax(p[:, high].sum(1) / p.sum(1) >= miss)))
     return tuple(out)
 
 
-def survivors(sig: np.ndarray, alive: np.ndarray, threshold: float) -> np.ndarray:
+def survivors(sig: np.ndarray, alive: np.ndarray, threshold: float, miss: float) -> np.ndarray:
     """Pairs (rows of alive, a boolean upper triangle) that no look at the signatures prunes."""
     i, j = np.nonzero(alive)
     hits = np.zeros(len(i), np.int32)
-    for k, least in enumerate(least_matches(threshold)):
+    for k, least in enumerate(least_matches(threshold, miss)):
         cut = sig[:, k * BATCH : (k + 1) * BATCH]
         for o in range(0, len(i), 65_536):
             hits[o : o + 65_536] += (cut[i[o : o + 65_536]] == cut[j[o : o + 65_536]]).sum(1, dtype=np.int32)
@@ -122,18 +123,42 @@ def exact(sets: list[np.ndarray], pairs: np.ndarray, percent: int) -> np.ndarray
     return link
 
 
-def verify(width: int, percent: int):
+def _surviving(t: pa.Table, percent: int, miss: float) -> np.ndarray:
+    """Pairs of the rows of a run (sorted by node, each once) that the signatures leave."""
+    comp, size = t.column("comp").to_numpy(), t.column("n_shingles").to_numpy()
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(comp), SIZE)
+    low, high = np.minimum.outer(size, size), np.maximum.outer(size, size)
+    alive = np.triu((comp[:, None] != comp[None, :]) & (100 * low >= percent * high), 1)
+    return survivors(sig, alive, percent / 100, miss)
+
+
+def _nodes(t: pa.Table) -> tuple[np.ndarray, pa.Table]:
+    node, first = np.unique(t.column("node").to_numpy(), return_index=True)
+    return node, t.take(first)
+
+
+def prune(percent: int, miss: float):
+    """Rows of a run with a surviving pair in it."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["hub", "i", "j"]):
-            node, first = np.unique(t.column("node").to_numpy(), return_index=True)
+            node, t = _nodes(t)
             if len(node) < 2:
                 continue
-            t = t.take(first)
-            comp, size = t.column("comp").to_numpy(), t.column("n_shingles").to_numpy()
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(node), SIZE)
-            low, high = np.minimum.outer(size, size), np.maximum.outer(size, size)
-            alive = np.triu((comp[:, None] != comp[None, :]) & (100 * low >= percent * high), 1)
-            pairs = survivors(sig, alive, percent / 100)
+            pairs = _surviving(t, percent, miss)
+            if len(pairs):
+                yield from t.take(np.unique(pairs)).select(["hub", "i", "j", "node", "comp"]).to_batches()
+
+    return kernel
+
+
+def verify(width: int, percent: int, miss: float):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ["hub", "i", "j"]):
+            node, t = _nodes(t)
+            if len(node) < 2:
+                continue
+            pairs = _surviving(t, percent, miss)
             if not len(pairs):
                 continue
             need = np.zeros(len(node), bool)
@@ -147,7 +172,7 @@ def verify(width: int, percent: int):
     return kernel
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (see the module's text)."""
     spark = docs.sparkSession
     stages = Stages(spark, "minhash")
@@ -158,11 +183,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     parts = [F.xxhash64(F.lit(k), F.substring("sig", 1 + 4 * ROWS * k, 4 * ROWS)) for k in range(BANDS)]
     banded = classes.select("node", F.explode(F.array(*parts)).alias("bucket"))
     pairs = hubs(stages, banded)
-    nodes = stages.write(pairs.select(F.col("node").alias("doc_id")).distinct())
-    texts = source.where("doc_id is not null").join(small(nodes), "doc_id").dropDuplicates(["doc_id"])
-    payload = texts.join(classes.withColumnRenamed("node", "doc_id"), "doc_id").selectExpr("doc_id as node", "n_shingles as weight", "n_shingles", "sig", "text")
-    payload = stages.write(payload)
-    comps = linked(stages, pairs, payload, verify(words, percent))
+    signed = stages.write(classes.join(pairs.select("node").distinct(), "node", "left_semi").select("node", F.col("n_shingles").alias("weight"), "n_shingles", "sig"))
+
+    def heavy(nodes: DataFrame) -> DataFrame:
+        texts = source.withColumnRenamed("doc_id", "node").join(small(nodes), "node").dropDuplicates(["node"])
+        return texts.join(signed.select("node", "n_shingles", "sig"), "node")
+
+    comps = linked(stages, pairs, signed, verify(words, percent, miss), prune=prune(percent, miss), heavy=heavy)
     moved = classes.join(comps, "node", "left").where("component is not null or last > node").selectExpr("k1", "k2", "coalesce(component, node) as component")
     return _result(table, moved)
 

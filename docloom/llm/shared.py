@@ -126,25 +126,32 @@ def hubs(stages: Stages, banded: DataFrame) -> DataFrame:
     return out
 
 
-def blocks(n: str, w: str) -> str:
-    return f"cast(greatest(ceil({n} / {BLOCK_ROWS}), ceil({w} / {BLOCK_WEIGHT}), 1) as int)"
-
-
-def linked(stages: Stages, pairs: DataFrame, payload: DataFrame, kernel) -> DataFrame:
+def linked(stages: Stages, pairs: DataFrame, payload: DataFrame, kernel, *, weight: str = "weight", prune=None, heavy=None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Components of the links that ``kernel`` finds in clusters.
 
     pairs: (hub, node); payload: (node, weight, ...).  ``kernel(batches)`` gets rows (hub, i, j, comp, ...) sorted by
-    (hub, i, j) and returns edges (u, v) that connect what is linked among rows of a run with different comp.
+    (hub, i, j) and returns edges (u, v) that connect what is linked among rows of a run with different comp.  With
+    ``prune``, the rows of payload go to ``prune(batches)`` first, which returns (hub, i, j, node, comp) of those worth a
+    closer look; only these are joined with ``heavy(nodes)``, a table (node, ...) of at least these nodes, and go to
+    ``kernel``.
 
     Clusters of one block are done in one run.  Larger ones are cut into blocks that each hold the hub; afterwards only
     nodes that are not connected to their hub meet the cluster's other blocks.
     """
-    sizes = pairs.join(payload.select("node", "weight"), "node").groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    blocks = lambda n, w: f"cast(greatest(ceil({n} / {block_rows}), ceil({w} / {BLOCK_WEIGHT}), 1) as int)"
+
+    def edges_of(rows: DataFrame) -> DataFrame:
+        rows = rows.join(payload, "node")
+        if prune is not None:
+            rows = stages.write(spread(rows, "hub", "i", "j").mapInArrow(prune, "hub bigint, i int, j int, node bigint, comp bigint"))
+            rows = rows.join(heavy(stages.write(rows.select("node").distinct())), "node")
+        return stages.write(spread(rows, "hub", "i", "j").mapInArrow(kernel, "u bigint, v bigint"))
+
+    sizes = pairs.join(payload.select("node", weight), "node").groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"))
     sizes = stages.write(sizes.where("n > 1").selectExpr("hub", f"{blocks('n', 'w')} as nb"))
     rows = pairs.join(sizes, "hub")
     first = rows.selectExpr("hub", "node", "nb", "explode(if(node = hub, sequence(0, nb - 1), array(cast(pmod(xxhash64(node), nb) as int)))) as i")
-    first = first.join(payload, "node").selectExpr("*", "0 as j", "node as comp").drop("nb")
-    edges = stages.write(spread(first, "hub", "i", "j").mapInArrow(kernel, "u bigint, v bigint"))
+    edges = edges_of(first.selectExpr("hub", "node", "i", "0 as j", "node as comp"))
     comps = components(stages, edges)
     large = sizes.where("nb > 1")
     if large.isEmpty():
@@ -153,10 +160,9 @@ def linked(stages: Stages, pairs: DataFrame, payload: DataFrame, kernel) -> Data
     home = rows.where("hub = node").select("hub", F.col("comp").alias("home"))
     rows = stages.write(rows.join(home, "hub"))
     loose = rows.where("comp <> home")
-    n_loose = loose.join(payload.select("node", "weight"), "node").groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    n_loose = loose.join(payload.select("node", weight), "node").groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"))
     rows = rows.join(n_loose.selectExpr("hub", f"{blocks('n', 'w')} as nl"), "hub")
     own = rows.where("comp <> home").selectExpr("hub", "node", "comp", "cast(pmod(xxhash64(node, 1), nl) as int) as i", "explode(sequence(0, nb - 1)) as j")
     rest = rows.selectExpr("hub", "node", "comp", "explode(sequence(0, nl - 1)) as i", "cast(pmod(xxhash64(node), nb) as int) as j")
-    second = own.union(rest.select("hub", "node", "comp", "i", "j")).distinct().join(payload, "node")
-    more = stages.write(spread(second, "hub", "i", "j").mapInArrow(kernel, "u bigint, v bigint"))
+    more = edges_of(own.union(rest.select("hub", "node", "comp", "i", "j")).distinct())
     return components(stages, edges.union(more))
