@@ -136,7 +136,7 @@ class _Subtree:
     def dropped(self) -> bool:
         if self.article:
             return False
-        prose = self.chars >= 200 and self.sentences >= 2 and self.chars >= 80 * self.blocks and 10 * self.links < self.chars
+        prose = self.chars >= 120 and self.sentences >= 2 and self.chars >= 60 * self.blocks and 10 * self.links < self.chars
         return self.sure or not prose
 
 
@@ -256,8 +256,8 @@ def parse(page: str) -> list[Block]:
     return [(t, a, n) for t, a, n, d in blocks if not any(x.dropped() for x in d)]
 
 
-#: Containers that a block counts for.
-REACH = 12
+#: Containers that a block counts for; characters that make an article beside the main one more than a teaser.
+REACH, BESIDE = 12, 200
 
 
 def best(blocks: list[Block]) -> tuple[str, float]:
@@ -317,13 +317,12 @@ def _widen(inside: dict[str, tuple[int, int]], arounds: set[tuple[str, ...]], pa
 
 
 def chosen(inside: dict[str, tuple[int, int]], path: str) -> set[str]:
-    """The path and, if it is an article, the further articles beside it that hold a quarter of its text at least, with
-    few links."""
+    """The path and, if it is an article, the further articles beside it of at least ``BESIDE`` characters, with few links."""
     if kind(path) != "article":
         return {path}
     parent = path.rpartition(">")[0]
     beside = {p: n for p, n in inside.items() if kind(p) == "article" and p.rpartition(">")[0] == parent}
-    return {path, *(p for p, (n, links) in beside.items() if 4 * n >= inside[path][0] and 4 * links < n)}
+    return {path, *(p for p, (n, links) in beside.items() if n >= BESIDE and 4 * links < n)}
 
 
 def extract(blocks: list[Block], winner: str | None) -> str:
