@@ -6,6 +6,8 @@ expressions stay inside whole-stage code.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,23 +142,26 @@ DMY = r"(?i)^\s*(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})" + _CLOCK.format(gap=r"\s+
 ISO = r"(?i)^\s*(\d{4})-(\d{2})-(\d{2})" + _CLOCK.format(gap=r"[T\s]") + r"(?:Z|[+-]\d{2}:\d{2})?\s*$"
 
 
+def bind(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once."""
+    return F.transform(F.array(c), f)[0]
+
+
 def portal_datetime(c: Column) -> Column:
     """dd/mm/yyyy or ISO as yyyy-MM-dd[THH:mm:ss].
 
     Ranges are checked field by field (31 February passes); a bad time leaves the date; other text is null.
     """
-    raw = cell(c)
-    iso = raw.rlike(ISO)
-
-    def part(i: int, d: int) -> Column:
-        return F.when(iso, F.regexp_extract(raw, ISO, i)).when(raw.rlike(DMY), F.regexp_extract(raw, DMY, d))
-
-    y, m, d, hh, mm, ss = part(1, 3), part(2, 2), part(3, 1), part(4, 4), part(5, 5), part(6, 6)
-    n = lambda x: nullif_empty(x).cast("int")
-    date = F.when(n(y).between(1900, 2100) & n(m).between(1, 12) & n(d).between(1, 31), F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
-    sec = F.coalesce(nullif_empty(ss), F.lit("0"))
-    good = n(hh).between(0, 23) & n(mm).between(0, 59) & sec.cast("int").between(0, 59)
-    return F.when(good, F.concat(date, F.lit("T"), F.lpad(hh, 2, "0"), F.lit(":"), mm, F.lit(":"), F.lpad(sec, 2, "0"))).otherwise(date)
+    parts = lambda raw: F.split(F.when(raw.rlike(ISO), re(raw, ISO, "$1,$2,$3,$4,$5,$6")).when(raw.rlike(DMY), re(raw, DMY, "$3,$2,$1,$4,$5,$6")), ",")
+
+    def written(p: Column) -> Column:
+        n = lambda k: nullif_empty(p[k]).cast("int")
+        two = lambda k: F.lpad(p[k], 2, "0")
+        date = F.when(n(0).between(1900, 2100) & n(1).between(1, 12) & n(2).between(1, 31), F.concat_ws("-", p[0], two(1), two(2)))
+        good = n(3).between(0, 23) & n(4).between(0, 59) & F.coalesce(n(5), F.lit(0)).between(0, 59)
+        return F.when(good, F.concat(date, F.lit("T"), two(3), F.lit(":"), p[4], F.lit(":"), two(5))).otherwise(date)
+
+    return bind(bind(cell(c), parts), written)
 
 
 def schedule_letter(c: Column) -> Column:

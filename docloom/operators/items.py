@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import list_serial, portal, text_or_empty
-from ..functions.text import clean_description, code_number, collapse, item_code, nullif_empty, strip, truncate
+from ..functions.text import bind, clean_description, code_number, collapse, item_code, nullif_empty, strip, truncate
 from ..schemas import ITEM_FIELDS
 from .lines import annotate, explode_lines, in_doc, nearest_above
 
@@ -45,17 +45,20 @@ MAX_DESC = 8000
 
 
 def layout_struct(name: str, line: Column) -> Column:
-    """The fields of a layout's match."""
+    """The fields of a layout's match, found by one pass of its expression."""
     pattern, fields = LAYOUTS[name]
-    at = {f: k + 1 for k, f in enumerate(fields)}
-    get = lambda f: nullif_empty(strip(F.regexp_extract(line, pattern, at[f]))) if f in at else F.lit(None).cast("string")
-    out = {f: get(f) for f in ITEM_FIELDS}
-    out["item_code"] = item_code(out["item_code"])
-    out["escalation"] = F.regexp_replace(collapse(out["escalation"]), r"(?i)at\s*par", "AT Par")
-    out["s_no"] = F.regexp_replace(out["s_no"], r"^0+(?=\d)", "")
-    if name == "prefixed":
-        out["s_no"] = code_number(out["item_code"])
-    return F.struct(*[v.alias(f) for f, v in out.items()])
+    groups = F.split(F.regexp_replace(line, pattern, "\u0001".join(f"${k + 1}" for k in range(len(fields)))), "\u0001")
+
+    def row(g: Column) -> Column:
+        out = {f: nullif_empty(strip(g[fields.index(f)])) if f in fields else F.lit(None).cast("string") for f in ITEM_FIELDS}
+        out["item_code"] = item_code(out["item_code"])
+        out["escalation"] = F.regexp_replace(collapse(out["escalation"]), r"(?i)at\s*par", "AT Par")
+        out["s_no"] = F.regexp_replace(out["s_no"], r"^0+(?=\d)", "")
+        if name == "prefixed":
+            out["s_no"] = code_number(out["item_code"])
+        return F.struct(*[v.alias(f) for f, v in out.items()])
+
+    return bind(groups, row)
 
 
 def match_rows(lines: DataFrame) -> DataFrame:
@@ -64,6 +67,7 @@ def match_rows(lines: DataFrame) -> DataFrame:
     The inline layout may wrap, so it is also tried on the line joined with one or two that follow.
     """
     line = F.col("line")
+    # every layout has an amount in it, on the line or on the two that may belong to it
     flowing = ~F.col("class").isin("schedule", "total", "breakup", "blank") & ~F.col("skip")
     serial_above = nearest_above(F.when(list_serial(line), line), F.col("class").isin("priced", "schedule", "total"), 3)
     lines = lines.withColumn("serial_above", serial_above)

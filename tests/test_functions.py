@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.functions import arrow as A
+from docloom.functions import arrow
+from docloom.functions import describe as A
 from docloom.functions import predicates as P
 from docloom.functions import text as T
 from docloom.operators import fields, names
@@ -52,25 +53,41 @@ def test_line_classes(spark):
     assert got == ["blank", "schedule", "total", "description", "serial", "priced", "text", "bid"]
 
 
-def test_text_automata():
-    assert A.repair_spaced("S u p p l y of H D P E pipe") == "Supply of HDPE pipe"
-    assert A.repair_spaced("fix ing of box") == "fixing of box"
-    assert A.drop_stray_number("tinned 4 copper conductor", "4") == "tinned copper conductor"
-    assert A.drop_stray_number("cable 4 core armoured", "4") == "cable 4 core armoured"
-    assert A.drop_stray_number("Item 4: plug board", "4") == "plug board"
-    assert A.drop_chrome("body text Page 3 of 9 more") == "body text"
-    assert A.clean_item("Specifi cation as per as per drawing SK.9/1 1") == "Specification as per drawing SK.9/11"
-    assert A.nfkc("ﬁ–x") == "fi-x"
-
-
-def test_names():
-    assert A.product_name("Supply, installation and testing of LED display board as per RDSO spec") == "LED display board"
-    assert A.product_name("Supply of GSM module (2 nos)") == "GSM module"
-    assert A.product_name("meaning of similar works") is None
-    store = names.learn({}, "Casting and supply of pillar box", "pillar box")
-    assert store["exact"] and "casting" in store["extra_verbs"]
-    assert A.product_name("Casting and supply of lamp post", tuple(store["extra_verbs"]), None, tuple(store["prefixes"])) == "lamp post"
-    assert names.reject(store, "Casting and supply of pillar box")["exact"] == {}
+def test_descriptions(spark):
+    none = F.lit(None).cast("string")
+    assert column(spark, A.repair_spaced, ["S u p p l y of H D P E pipe", "fix ing of box", "1 2 . 5 m", None]) == ["Supply of HDPE pipe", "fixing of box", "12.5 m", None]
+    four = lambda c: A.drop_stray_number(c, F.lit("4"), none)
+    given = ["tinned 4 copper conductor", "cable 4 core armoured", "Item 4: plug board", "as per IS 4 grade", "th 04 ermal pad", "part no. 4 x", "5 4 a"]
+    assert column(spark, four, given) == ["tinned copper conductor", "cable 4 core armoured", "plug board", "as per IS 4 grade", "thermal pad", "part no. 4 x", "5a"]
+    assert column(spark, A.drop_chrome, ["body text Page 3 of 9 more", "a 60 61 62 b", "a 60 62 b"]) == ["body text", "a b", "a 60 62 b"]
+    assert column(spark, lambda c: A.clean_item(c, none, none), ["Specifi cation as per as per drawing SK.9/1 1", " ", "relayPanel 2. 5 x"]) == ["Specification as per drawing SK.9/11", None, "relay Panel 2.5 x"]
+    assert column(spark, A.normal_description, ['Description:- "[[PAGE:2]] cable o f copper', "drum 12 3.00 Nos 4.00 5.00 AT Par", None]) == ["cable of copper", "drum", None]
+
+
+def test_nfkc(spark):
+    from docloom.plans.deploy import ship
+
+    ship(spark)
+    assert column(spark, arrow.nfkc, ["ﬁ–x", "plain", None]) == ["fi-x", "plain", ""]
+
+
+def test_names(spark):
+    name = lambda c: A.product_name(A.normal_description(c))
+    given = ["Supply, installation and testing of LED display board as per RDSO spec", "Supply of GSM module (2 nos)", "meaning of similar works", None, "Laying of cable drum with all accessories and more"]
+    assert column(spark, name, given) == ["LED display board", "GSM module", None, None, "cable drum"]
+    long = "relay panel " + "with many words " * 20
+    assert column(spark, A.finish_name, [long, "lamp post (old", "box. Inspection by us"]) == ["relay panel with many words", "lamp post", "box. Inspection by us"]
+    assert column(spark, lambda c: A.checked_name(F.lit("supply of signal lamp unit"), c), ["supply of signal lamp unit", "meaning of similar works", "lamp"]) == ["signal lamp unit", None, "lamp"]
+
+
+def test_learning(spark):
+    c = spark.createDataFrame([("Casting and supply of pillar box", "pillar box", 1), ("Casting and supply of pillar box", "old name", 0), ("x", " ", 2)], "description string, name string, learned_at int")
+    learned = names.learn(c)
+    (r,) = learned.collect()
+    assert (r.key, r.name, r.prefix, r.verbs) == ("casting and supply of pillar box", "pillar box", "Casting and supply of", ["casting"])
+    name = lambda c: A.product_name(A.normal_description(c), None, tuple(r.verbs), (r.pattern,))
+    assert column(spark, name, ["Casting and  supply of lamp post"]) == ["lamp post"]
+    assert names.reject(learned, spark.createDataFrame([("casting and supply of Pillar box",)], "description string")).collect() == []
 
 
 def test_grounded(spark):

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from docloom.operators import fields, items, lines, memory, merge, tables
+from docloom.operators import fields, header, items, lines, memory, merge, tables
 from docloom.schemas import ITEM_FIELDS, ITEM_SCHEMA
 from docloom.sources import pages, sinks
 
@@ -75,7 +75,7 @@ def test_header_map_and_grid(spark):
 
 def test_header_fields(spark):
     text = "CENTRAL DIVISION-S AND T/WESTERN RLY\nTENDER DOCUMENT\nTender No: BCT-26-01  Closing Date/Time: 25/08/2026 15:00\nName of Work: Provision of cable and relays at several stations\nBidding type: Normal Tender\nAdvertised Value: 15,00,000.00\nPeriod of Completion: 12 Months\n"
-    r = fields.header_fields(spark.createDataFrame([("d", text)], "doc_id string, text string")).first()
+    r = header.header_fields(spark.createDataFrame([("d", text)], "doc_id string, text string")).first()
     assert (r.tender_no, r.closing_date_time, r.zone, r.railway, r.division_name) == ("BCT-26-01", "25/08/2026 15:00", "WESTERN RLY", "WESTERN RLY", "CENTRAL DIVISION-S AND T")
     assert (r.name_of_work, r.advertised_value, r.period_of_completion, r.reference_no) == ("Provision of cable and relays at several stations", "15,00,000.00", "12 Months", "BCT-26-01")
 
