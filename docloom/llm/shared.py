@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.stages import Stages
@@ -47,13 +47,17 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-#: Rows of a narrow side that may be broadcast.
-MAX_BROADCAST = 250_000
+#: Rows of a narrow side that may be broadcast, and bytes of one whose rows hold arrays.
+MAX_BROADCAST, MAX_BYTES = 250_000, 1 << 24
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df (narrow rows), to be broadcast if it is counted and has few rows; else Spark joins by shuffle."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+def small(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """df, to be broadcast if it has few rows and, where ``size`` (bytes of a row) is given, few bytes; else Spark joins by
+    shuffle."""
+    if size is None:
+        return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+    n, total = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    return F.broadcast(df) if n <= MAX_BROADCAST and (total or 0) <= MAX_BYTES else df
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,9 @@ minimiser, the least hash of their ``GRAM``-byte grams, so each window is assign
    a gap's windows that are unique make all of them unique, a repeated union makes all of them repeats; only the windows
    of the gaps in between, at the rims of a passage, are counted one by one.
 
-Joins with texts broadcast the small side up to a counted number of rows and shuffle beyond it.
+Joins with texts broadcast the small side up to a counted number of rows and bytes and shuffle beyond it.  Anchors that hold
+a good part of all rows are joined on the map side, as there can be only few of them.  Contexts are equal if the 64-bit hash
+of their anchor, that of all their bytes and their lengths are.
 
 Defined results: a null text is empty; a text shorter than LENGTH keeps all its bytes; an empty table gives no rows;
 doc_id is passed on as it is, null and repeated ones too (each row counts as a text of its own, so repeated rows repeat
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .shared import Stages, binary, pieces, runs, small, spread
+from .shared import Stages, binary, partitions, pieces, runs, small, spread
 
 LENGTH, GRAM, HOT, STEP, INDEX_BYTES, SLAB = 200, 40, 512, 8, 1 << 18, 1 << 19
 
@@ -270,9 +272,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     copies = stages.write(source.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1").drop("n"))
     once = source.join(small(copies), key, "left").where(F.col("first_id").isNull() | (F.col("doc_id") == F.col("first_id")))
     table = stages.write(once.select(*key, "text").mapInArrow(_list_anchors, "k1 bigint, k2 bigint, h bigint, ctx bigint, p bigint, a bigint, b bigint"))
-    shared = table.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1").selectExpr("h", "lo <> hi as mixed")
-    rows = stages.write(table.join(shared, "h"))
-    stages.drop(table)
+    shared = table.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1").selectExpr("h", "n", "lo <> hi as mixed")
+    shared = stages.write(shared)
+    # at most four per partition can be this frequent
+    often = f"n > {max(HOT, table.count() // (4 * partitions(spark)))}"
+    frequent = F.broadcast(shared.where(often).drop("n"))
+    rest = table.join(frequent.select("h"), "h", "left_anti").join(shared.where(f"not ({often})").drop("n"), "h")
+    rows = stages.write(table.join(frequent, "h").unionByName(rest))
+    stages.drop(table, shared)
     # one location stands for all occurrences of a context
     place = F.min(F.struct("k1", "k2", "p", "a", "b"))
     groups = stages.write(rows.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("n"), F.max("mixed").alias("mixed"), place.alias("at")).selectExpr("h", "ctx", "n > 1 as whole", "mixed", "at.*"))
@@ -283,7 +290,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def contexts(df: DataFrame) -> DataFrame:
         """h, ctx, whole, lead, bytes of the contexts, each once (rows of repeated doc_ids may give one twice)."""
         need = stages.write(df.groupBy(*key).agg(F.collect_list(F.struct("h", "ctx", "whole", "p", "a", "b")).alias("need")))
-        found = once.join(small(need), key).select("text", "need").mapInArrow(_contexts, "h bigint, ctx bigint, whole boolean, lead bigint, bytes binary")
+        found = once.join(small(need, 24 + 56 * F.size("need")), key).select("text", "need").mapInArrow(_contexts, "h bigint, ctx bigint, whole boolean, lead bigint, bytes binary")
         return found.dropDuplicates(["h", "ctx"])
 
     cold = mixed.join(hot, "h", "left_anti") if is_hot else mixed
@@ -302,4 +309,4 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     marks = marks.groupBy(*key, "span").agg(F.min("a").alias("a"), F.max("e").alias("e"))
     plan = marks.groupBy(*key).agg(F.collect_list(F.struct("a", "e")).alias("marks")).join(copies.select(*key, F.lit(True).alias("full")), key, "full")
     plan = stages.write(plan.withColumn("marks", F.when(F.col("full").isNull(), F.col("marks"))))
-    return source.join(small(plan), key, "left").select("doc_id", "text", "full", "marks").mapInArrow(_cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return source.join(small(plan, 32 + 24 * F.coalesce(F.size("marks"), F.lit(0))), key, "left").select("doc_id", "text", "full", "marks").mapInArrow(_cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
