@@ -1,5 +1,6 @@
 """All registered queries by name, and the DuckDB text that each must equal."""
 
+from . import item_queries  # noqa: F401  (registers its queries)
 from .queries import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
