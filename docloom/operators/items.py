@@ -1,4 +1,4 @@
-"""Line items from free text.
+"""Line items from free text.
 
 A document's lines are exploded and classified once.  Every layout is one regular expression over a line (or the line and
 the two after it); a row opens an item, and the lines that follow attach to it until an end class.
@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import list_serial, portal, text_or_empty
+from ..functions.predicates import JUNK_FIRST, list_serial, portal, text_or_empty
 from ..functions.text import bind, clean_description, code_number, collapse, item_code, nullif_empty, strip, truncate
 from ..schemas import ITEM_FIELDS
 from .lines import annotate, explode_lines, in_doc, nearest_above
@@ -162,6 +162,44 @@ def parse_categories(docs: DataFrame, pass_no: int = 3) -> DataFrame:
     return rows.select("doc_id", F.lit(pass_no).alias("pass_no"), F.col("k").cast("bigint").alias("seq"), *[v.alias(f) for f, v in out.items()], F.array().cast("array<int>").alias("page_numbers"), F.lit(None).cast("bigint").alias("source_pos"))
 
 
+# Labels of a bid's price blocks.
+BLOCK_LABELS = {
+    "title": r"item\s*(?:title|name)",
+    "description": r"item\s*(?:description|details?)",
+    "unit_rate": r"unit\s*(?:rate|price)|rate|price",
+    "amount": r"total\s*(?:amount|price)|amount",
+    "item_qty": r"quantity|qty",
+    "qty_unit": r"unit|uom",
+}
+
+
+def parse_price_blocks(docs: DataFrame, pass_no: int = 3) -> DataFrame:
+    """Labelled title, description, quantity, unit, rate and amount of a bid's items.
+
+    A text is cut at its labels; the parts run on until a title, or a description or quantity after the block's quantity,
+    opens the next block.  A block counts if it has a quantity and its words are no page furniture.
+    """
+    labels = "|".join(BLOCK_LABELS.values())
+    cut = F.split(F.regexp_replace("text", rf"(?i)\b({labels})\s*(?:[:\-–]|(?<=quantity|qty)(?=\s*\d))\s*", "\u0001$1\u0002"), "\u0001")
+    parts = docs.select("doc_id", F.posexplode(cut).alias("k", "part")).where("k > 0")
+    label, value = F.substring_index("part", "\u0002", 1), F.regexp_replace("part", "^[^\u0002]*\u0002", "")
+    kind = reduce(lambda acc, f: acc.when(label.rlike(rf"(?i)^(?:{BLOCK_LABELS[f]})$"), f), list(BLOCK_LABELS)[1:], F.when(label.rlike(rf"(?i)^(?:{BLOCK_LABELS['title']})$"), "title"))
+    parts = parts.select("doc_id", "k", kind.alias("kind"), collapse(value).alias("value"))
+    w = Window.partitionBy("doc_id").orderBy("k")
+    before = F.lag("kind").over(w)
+    words = F.col("kind").isin("title", "description", "item_qty")
+    opens = (F.col("kind") == "title") | words & (before.isNull() | ~before.isin("title", "description"))
+    parts = parts.withColumn("block", F.sum(opens.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("block > 0")
+    first = lambda f: F.min_by(F.when(F.col("kind") == f, F.col("value")), F.when(F.col("kind") == f, F.col("k")))
+    g = parts.groupBy("doc_id", "block").agg(F.min("k").cast("bigint").alias("seq"), *[first(f).alias(f) for f in BLOCK_LABELS])
+    number = lambda f: nullif_empty(F.regexp_extract(f, r"^(?:Rs\.?|INR|₹)?\s*([\d,]+\.?\d*)", 1))
+    text = nullif_empty(F.concat_ws(" ", "title", "description"))
+    out = {f: F.lit(None).cast("string") for f in ITEM_FIELDS} | {f: number(f) for f in ("item_qty", "unit_rate", "amount")}
+    out |= {"qty_unit": nullif_empty(F.regexp_extract("qty_unit", r"^([A-Za-z][A-Za-z./\-]{0,20})", 1)), "description": truncate(text, MAX_DESC), "product_name": truncate(F.col("title"), 200)}
+    rows = g.select("doc_id", F.lit(pass_no).alias("pass_no"), (F.col("seq") + 1_000_000).alias("seq"), *[v.alias(f) for f, v in out.items()], F.array().cast("array<int>").alias("page_numbers"), F.lit(None).cast("bigint").alias("source_pos"))
+    return rows.where(F.col("item_qty").isNotNull() & ~F.coalesce(F.col("description").rlike(JUNK_FIRST), F.lit(False)))
+
+
 def parse_paragraphs(docs: DataFrame, pass_no: int = 9) -> DataFrame:
     """Numbered lines of the first section that names a bill of quantities (40,000 characters)."""
     # Headings of a bill of quantities.
@@ -185,7 +223,7 @@ def all_passes(docs: DataFrame, from_tables: DataFrame | None = None) -> DataFra
     stages = Stages(docs.sparkSession, "passes")
     kind = stages.write(docs.select("doc_id", "text", portal(F.col("text")).alias("portal")))
     gem, rest = kind.where("portal = 'gem'"), kind.where("portal <> 'gem'")
-    first = parse_categories(gem)
+    first = parse_categories(gem).unionByName(parse_price_blocks(gem))
     first = stages.write(from_tables.unionByName(first) if from_tables is not None else first)
     again = gem.join(first.select("doc_id").distinct(), "doc_id", "left_anti")
     schedules = rest.select("doc_id", "text", F.lit(2).alias("pass_no")).union(again.select("doc_id", "text", F.lit(4).alias("pass_no")))

@@ -346,6 +346,14 @@ def k11(spark: SparkSession, d: str) -> DataFrame:
     return items.parse_paragraphs(render.documents(render.numbered(table(spark, d, "lineitem")), line, title=F.lit("x\nBill of Quantities"))).select("doc_id", "s_no", "description", "item_qty", "qty_unit")
 
 
+@query("k13_price_blocks", f"{_NUMBERED} select doc_id, 'Part ' || l_partkey || ' ' || description as description, 'Part ' || l_partkey as product_name, item_qty, 'Nos' as qty_unit, unit_rate, amount from m")
+def k13(spark: SparkSession, d: str) -> DataFrame:
+    part = F.concat(F.lit("Part "), F.col("l_partkey").cast("string"))
+    block = F.concat(F.lit("Item Title: "), part, F.lit("\nItem Description - "), render.description(), F.lit("\nQty "), render.money(F.col("l_quantity")), F.lit(" Unit: Nos\nUnit Rate: Rs. "), render.money(F.col("l_extendedprice")), F.lit("\nTotal Amount: "), render.money(F.col("l_tax")))
+    docs = render.documents(render.numbered(table(spark, d, "lineitem")), block, title=F.lit("GeM bid"), tail="")
+    return items.parse_price_blocks(docs).select("doc_id", "description", "product_name", "item_qty", "qty_unit", "unit_rate", "amount")
+
+
 @query("k14_defaults", f"{_NUMBERED} select doc_id, sno, cast(sno as varchar) as s_no, case when sno % 2 = 0 then 'NS' || sno else cast(sno as varchar) end as item_code, 'AT Par' as escalation, case when sno % 3 = 0 then 'Rs.' end as bidding_unit from m")
 def k14(spark: SparkSession, d: str) -> DataFrame:
     rows = _bag(spark, d, s_no=F.when(F.col("sno") % 2 == 1, F.lpad(sno(), 5, "0")), item_code=F.when(F.col("sno") % 2 == 0, F.concat(F.lit("NS"), sno())), escalation=F.lit("at  par"), bidding_unit=F.when(F.col("sno") % 3 == 0, "Rs.").otherwise("x"))

@@ -183,23 +183,20 @@ def d08(spark: SparkSession, d: str) -> DataFrame:
     return merge.complete_parents(kids.unionByName(parents)).where("schedule like 'Schedule%'").select("doc_id", "s_no", "item_qty", "unit_rate", "amount", "basic_value", "escalation")
 
 
-@query("d09_dedupe_model_rows", "with t as (select conv_id, turn, row_number() over (partition by conv_id, lower(role || '||' || regexp_replace(substr(text, 1, 5), '\\s+', ' ', 'g')) order by turn) as r from conversations) select cast(conv_id as varchar) as doc_id, turn as seq, cast(row_number() over (partition by conv_id order by turn) as varchar) as position from t where r = 1")
-def d09(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").alias("seq"), F.lit(None).cast("string").alias("s_no"), F.col("role").alias("item_code"), F.substring("text", 1, 5).alias("description"))
-    return memory.dedupe_model_rows(c).select("doc_id", "seq", F.col("s_no").alias("position"))
-
-
 _D09_WHOLE = """with t as (select conv_id, turn, row_number() over (partition by conv_id, lower(coalesce(role, 'None') || '|' || regexp_replace(substr(coalesce(text, ''), 1, 120), '\\s+', ' ', 'g')) order by turn) as r from conversations)
     select cast(conv_id as varchar) as doc_id, turn as seq, cast(row_number() over (partition by conv_id order by turn) as varchar) as position from t where r = 1"""
 
 
-@query("d09_dedupe_whole_rows", _D09_WHOLE)
-def d09_whole(spark: SparkSession, d: str) -> DataFrame:
-    """d09 with the whole text, so that the operator's own key of 120 characters counts."""
+@query("d09_dedupe_model_rows", _D09_WHOLE)
+def d09(spark: SparkSession, d: str) -> DataFrame:
+    """The whole text; the operator's own key takes 120 characters."""
     c = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").alias("seq"), F.lit(None).cast("string").alias("s_no"), F.col("role").alias("item_code"), F.col("text").alias("description"))
     return memory.dedupe_model_rows(c).select("doc_id", "seq", F.col("s_no").alias("position"))
 
 
+QUERIES["d09_dedupe_whole_rows"], ORACLE["d09_dedupe_whole_rows"] = QUERIES["d09_dedupe_model_rows"], _D09_WHOLE
+
+
 @query("d10_longest_value", "select cast(o_custkey as varchar) as doc_id, o_orderstatus as key, max_by(o_orderpriority, length(o_orderpriority) * 10000000 - o_orderkey) as value from orders group by 1, 2")
 def d10(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.col("o_orderstatus").alias("key"), F.col("o_orderpriority").alias("value"), F.col("o_orderkey").alias("chunk"))
@@ -213,13 +210,13 @@ def d17(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- A, B, C: pages, classes, lookups ----
-def _pages(spark: SparkSession, d: str, strip_tags: bool, whole: bool = False) -> DataFrame:
+def _pages(spark: SparkSession, d: str, strip_tags: bool) -> DataFrame:
     p = table(spark, d, "pages")
-    text = F.regexp_replace("html", "<[^>]*>", "") if strip_tags else F.col("html") if whole else F.substring("html", 1, 3000)
+    text = F.regexp_replace("html", "<[^>]*>", "") if strip_tags else F.col("html")
     return p.select((F.col("page_id") % 20).cast("string").alias("doc_id"), F.col("page_id").cast("int").alias("page_number"), text.alias("text")).withColumn("char_count", page_source.density(F.col("text")))
 
 
-_PAGES = "with a as (select cast(page_id % 20 as varchar) as doc_id, cast(page_id as integer) as page_number, length(replace(replace(substr(html, 1, 3000), ' ', ''), chr(10), '')) as x, length(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), ' ', ''), chr(10), '')) as y from pages)"
+_PAGES = "with a as (select cast(page_id % 20 as varchar) as doc_id, cast(page_id as integer) as page_number, length(replace(replace(html, ' ', ''), chr(10), '')) as x, length(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), ' ', ''), chr(10), '')) as y from pages)"
 
 
 @query("c01_best_pages", f"{_PAGES} select doc_id, page_number, cast(greatest(x, y) as integer) as char_count, y > x as second from a")
@@ -229,12 +226,7 @@ def c01(spark: SparkSession, d: str) -> DataFrame:
     return page_source.best_pages(first, other).select("doc_id", "page_number", "char_count", "second")
 
 
-@query("c01_best_whole_pages", f"{_PAGES.replace('substr(html, 1, 3000)', 'html')} select doc_id, page_number, cast(greatest(x, y) as integer) as char_count, y > x as second from a")
-def c01_whole(spark: SparkSession, d: str) -> DataFrame:
-    """c01 with the whole html as the first extraction."""
-    first = _pages(spark, d, False, whole=True).withColumn("second", F.lit(False))
-    other = _pages(spark, d, True).withColumn("second", F.lit(True))
-    return page_source.best_pages(first, other).select("doc_id", "page_number", "char_count", "second")
+QUERIES["c01_best_whole_pages"], ORACLE["c01_best_whole_pages"] = QUERIES["c01_best_pages"], ORACLE["c01_best_pages"]
 
 
 @query("b01_page_classes", f"{_PAGES}, r as (select doc_id, count(*) as page_count, avg(case when y < 1500 then 1.0 else 0.0 end) as ratio from a group by 1) select doc_id, page_count, case when ratio >= 0.55 then 'scanned' when ratio > 0 then 'mixed' else 'text' end as pdf_type from r")
@@ -281,19 +273,15 @@ def c17(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "c18_memory_top_k",
-    """with q as (select vec_id as q_id, embedding as q from embeddings where vec_id < 5), s as (select q_id, vec_id, round(list_cosine_similarity(cast(q as double[]), cast(embedding as double[])), 6) as score from q, embeddings),
+    """with q as (select vec_id as q_id, embedding as q from embeddings where vec_id % 50 = 0), s as (select q_id, vec_id, round(list_cosine_similarity(cast(q as double[]), cast(embedding as double[])), 6) as score from q, embeddings),
     r as (select *, row_number() over (partition by q_id order by score desc, vec_id) as rank from s) select q_id, vec_id, cast(rank as integer) as rank from r where rank <= 4""",
 )
 def c18(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
-    return memory.top_k(v.where("vec_id < 5").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec")), v).select("q_id", "vec_id", F.col("rank").cast("int").alias("rank"))
+    return memory.top_k(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec")), v).select("q_id", "vec_id", F.col("rank").cast("int").alias("rank"))
 
 
-@query("c18_search_all", ORACLE["c18_memory_top_k"].replace("vec_id < 5", "vec_id % 50 = 0"))
-def c18_all(spark: SparkSession, d: str) -> DataFrame:
-    """c18 by the rule for searches: every row whose id is divisible by 50 against all rows."""
-    v = table(spark, d, "embeddings")
-    return memory.top_k(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec")), v).select("q_id", "vec_id", F.col("rank").cast("int").alias("rank"))
+QUERIES["c18_search_all"], ORACLE["c18_search_all"] = QUERIES["c18_memory_top_k"], ORACLE["c18_memory_top_k"]
 
 
 @query("a21_memory_upsert", "with t as (select *, substr(sha1(conv_id || ':' || role || ':' || substr(trim(text, chr(10) || ' '), 1, 200)), 1, 24) as id, row_number() over (partition by conv_id, role, substr(trim(text, chr(10) || ' '), 1, 200) order by turn desc) as r from conversations) select id, cast(conv_id as varchar) as chat_id, role, turn as at from t where r = 1 and length(text) >= 2")
