@@ -48,16 +48,16 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
 
 
 #: Rows of a narrow side that may be broadcast, and bytes of one whose rows hold arrays.
-MAX_BROADCAST, MAX_BYTES = 250_000, 1 << 24
+MAX_BROADCAST, MAX_BYTES = 250_000, 1 << 20
 
 
 def small(df: DataFrame, size: Column | None = None) -> DataFrame:
-    """df, to be broadcast if it has few rows and, where ``size`` (bytes of a row) is given, few bytes; else Spark joins by
+    """df, to be broadcast if it has few rows and, where ``size`` (bytes of a row) is given, few bytes; else joined by
     shuffle."""
     if size is None:
         return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
     n, total = df.agg(F.count(F.lit(1)), F.sum(size)).first()
-    return F.broadcast(df) if n <= MAX_BROADCAST and (total or 0) <= MAX_BYTES else df
+    return F.broadcast(df) if n <= MAX_BROADCAST and (total or 0) <= MAX_BYTES else df.hint("merge")
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:

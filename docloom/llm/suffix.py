@@ -293,11 +293,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         found = once.join(small(need, 24 + 56 * F.size("need")), key).select("text", "need").mapInArrow(_contexts, "h bigint, ctx bigint, whole boolean, lead bigint, bytes binary")
         return found.dropDuplicates(["h", "ctx"])
 
-    cold = mixed.join(hot, "h", "left_anti") if is_hot else mixed
-    found = spread(contexts(cold).drop("lead"), "h").mapInArrow(_index, "h bigint, ctx bigint, spans array<bigint>")
+    every = stages.write(contexts(mixed)) if is_hot else contexts(mixed)
+    cold = every.join(hot, "h", "left_anti") if is_hot else every
+    found = spread(cold.drop("lead"), "h").mapInArrow(_index, "h bigint, ctx bigint, spans array<bigint>")
     found = found.selectExpr("h", "ctx", "explode(transform(sequence(0, cast(size(spans) / 2 as int) - 1), k -> struct(spans[2 * k] as s, spans[2 * k + 1] as e))) as x").selectExpr("h", "ctx", "x.s", "x.e")
     if is_hot:
-        more = hot_repeats(stages, stages.write(contexts(mixed.join(hot, "h"))))
+        more = hot_repeats(stages, stages.write(every.join(hot, "h")))
         more = more.join(groups.where("not whole").select("h", "ctx", "p", "a"), ["h", "ctx"])
         found = found.union(more.selectExpr("h", "ctx", "first + p - a as s", "last + p - a as e"))
     marks = rows.join(groups.where("whole").select("h", "ctx"), ["h", "ctx"]).selectExpr(*key, "a", f"b + {LENGTH} as e")
