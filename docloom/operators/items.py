@@ -1,4 +1,4 @@
-"""Line items from free text.
+"""Line items from free text.
 
 A document's lines are exploded and classified once.  Every layout is one regular expression over a line (or the line and
 the two after it); a row opens an item, and the lines that follow attach to it until an end class.
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import JUNK_FIRST, list_serial, portal, text_or_empty
 from ..functions.text import bind, clean_description, code_number, collapse, item_code, nullif_empty, strip, truncate
 from ..schemas import ITEM_FIELDS
-from .lines import annotate, explode_lines, in_doc, nearest_above
+from .lines import annotate, explode_lines, in_doc, nearest_above, running
 
 # Units, bidding units, escalation and money of schedule rows.
 UNIT = r"[A-Za-z][A-Za-z./\-]{0,20}|Running\s*Mtr"
@@ -39,6 +39,12 @@ LAYOUTS: dict[str, tuple[str, list[str]]] = {
     ),
 }
 BREAKUP_ROW = rf"(?i)^(\d{{1,3}})\s+(\d{{1,3}})\s+(.+?)({STRICT})\s+{MONEY}\s+{MONEY}\s+{MONEY}\s*$"
+#: A coded row anywhere in a region: it may wrap, share its line with others, or have whole numbers.
+SWEEP = (
+    rf"(?i)(?<![0-9A-Za-z.])(\d{{1,4}})\s+([A-Za-z]{{1,6}}\d{{1,5}}|\d{{1,6}})\s+([\d,]+\.\d{{2}}|\d+)\s+({UNIT})\s+([\d,]+\.\d{{2}}|\d+)\s+([\d,]+\.\d{{2}}|\d+)\s+(AT\s*Par|[\d,]+\.?\d*\s*%?)\s+"
+    rf"([\d,]+\.\d{{2}}|\d+)(?![\d.,])(?:[ \t]+{BID[:-1]}(?![A-Za-z]))?"
+)
+SWEEP_FIELDS = LAYOUTS["inline"][1]
 DESCRIPTION = r"(?i)^(?:([A-Za-z]{0,6}\d{1,5})\s+)?description\s*[:\-–]-?\s*(.*)$"
 CODE_LINE = r"(?i)^([A-Za-z]{1,6}\d{1,5}|\d{5,6}|[A-Z])$"
 MAX_DESC = 8000
@@ -127,6 +133,81 @@ def parse_items(docs: DataFrame, pass_no: int = 2) -> DataFrame:
     return g.select("doc_id", F.lit(pass_no).alias("pass_no"), F.col("at.line_no").cast("bigint").alias("seq"), *[v.alias(f) for f, v in out.items()], pages.alias("page_numbers"), F.col("at.offset").alias("source_pos"))
 
 
+def regions(docs: DataFrame) -> DataFrame:
+    """doc_id, region_no, offset, page, schedule, text of each schedule up to its total, a new section or the next one.
+
+    Heads inside an item breakup open none.  Region 0, the whole text, is left to the passes over lines.
+    """
+    c, line = F.col("class"), F.col("line")
+    section = line.rlike(r"(?i)^(?:\d+\.\s*)?(?:general\s+conditions|special\s+conditions|eligibility|payment\s+terms|instructions\s+to\s+bidders|standard\s+general|annexure|corrigendum)\b")
+    lines = annotate(explode_lines(docs))
+    lines = lines.withColumn("inside", F.coalesce(running((c == "breakup") | section, c == "breakup"), F.lit(False)))
+    head = (c == "schedule") & ~F.col("inside")
+    lines = lines.withColumn("region_no", F.coalesce(running(head, F.col("line_no")), F.lit(-1))).withColumn("done", F.coalesce(running(head | section | c.isin("total", "breakup"), ~head), F.lit(True)))
+    g = lines.where("region_no >= 0 and not done").groupBy("doc_id", "region_no")
+    g = g.agg(F.min("offset").alias("offset"), F.min("page").alias("page"), F.min_by("schedule", "line_no").alias("schedule"), F.array_sort(F.collect_list(F.struct("line_no", "raw"))).alias("parts"))
+    return g.select("doc_id", "region_no", "offset", "page", "schedule", F.array_join(F.transform("parts", lambda p: p["raw"]), "\n").alias("text"))
+
+
+def description_block(after: Column) -> Column:
+    """The description at the start of a text: the lines from its label, after blanks and codes, up to the end of the block."""
+    body = F.regexp_extract(after, r"(?is)\A\s*(?:(?:[A-Za-z]{1,6}\d{1,5}|\d{1,6}|[A-Z])\s*\n\s*)?(?:[A-Za-z]{0,6}\d{1,5}\s+)?description\s*[:\-–]-?\s*(.*)", 1)
+    ended = F.regexp_replace(body, r"(?is)\n\s*(?:schedule\b|(?:grand\s+)?total\b|(?:[A-Za-z]{0,6}\d{1,5}\s+)?description\s*[:\-–]|above\s*/|below\s*/|item\s+breakup\b|\d{1,4}\s*$).*\z", "")
+    chrome = F.regexp_replace(ended, r"(?im)^\s*(?:\[\[PAGE:\d+\]\]|tender\s+no\s*:.*|page\s+\d+.*|\d{1,4})\s*$", "")
+    return truncate(clean_description(collapse(chrome)), MAX_DESC)
+
+
+def sweep_regions(docs: DataFrame, pass_no: int = 6) -> DataFrame:
+    """Coded rows found anywhere in the text of a schedule's region, each with the description that follows it."""
+    marked = F.regexp_replace("text", SWEEP, "\u0001$0\u0002" + "\u0002".join(f"${k + 1}" for k in range(len(SWEEP_FIELDS))) + "\u0003")
+    found = regions(docs).where(F.col("text").rlike(SWEEP)).select("doc_id", "region_no", "offset", "page", "schedule", F.posexplode(F.split(marked, "\u0001")).alias("k", "piece"))
+    found = found.withColumn("after", F.substring_index("piece", "\u0003", -1)).withColumn("g", F.split(F.substring_index("piece", "\u0003", 1), "\u0002"))
+    size = F.when(F.col("k") == 0, F.length("piece")).otherwise(F.length(F.col("g")[0]) + F.length("after"))
+    here = Window.partitionBy("doc_id", "region_no").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    page = F.when(F.col("k") >= 0, F.regexp_extract("piece", r"(?s).*\[\[PAGE:(\d+)\]\]", 1)).try_cast("int")
+    found = found.withColumn("at", F.col("offset") + F.coalesce(F.sum(size).over(here), F.lit(0))).withColumn("page", F.coalesce(F.last(page, True).over(here), F.col("page"))).where("k > 0")
+    get = lambda f: nullif_empty(strip(F.col("g")[SWEEP_FIELDS.index(f) + 1]))
+    out = {f: get(f) if f in SWEEP_FIELDS else F.lit(None).cast("string") for f in ITEM_FIELDS}
+    out |= {"s_no": F.regexp_replace(get("s_no"), r"^0+(?=\d)", ""), "item_code": item_code(get("item_code")), "escalation": F.regexp_replace(collapse(get("escalation")), r"(?i)at\s*par", "AT Par")}
+    out |= {"description": nullif_empty(description_block(F.col("after"))), "schedule": F.col("schedule")}
+    pages = F.when(F.col("page").isNotNull(), F.array("page")).otherwise(F.array().cast("array<int>"))
+    return found.select("doc_id", F.lit(pass_no).alias("pass_no"), F.col("at").alias("seq"), *[v.alias(f) for f, v in out.items()], pages.alias("page_numbers"), F.col("at").alias("source_pos"))
+
+
+def parse_anchors(docs: DataFrame, pass_no: int = 7, reach: int = 29) -> DataFrame:
+    """Each description with the nearest row in the ``reach`` lines above it; several may share a row.
+
+    A description with a prefixed code of its own and no row above is an item without money; others are left out.
+    """
+    lines = match_rows(annotate(explode_lines(docs)))
+    line, c = F.col("line"), F.col("class")
+    label = line.rlike(DESCRIPTION) & ~F.col("skip")
+    above = F.last(F.when(F.col("row").isNotNull(), F.struct("row", "line_no", "schedule")), True).over(in_doc().rowsBetween(-reach, -1))
+    # serials and codes alone on a line, each with its place, count if they stand between the row and the description
+    serial = F.last(F.when(list_serial(line), F.struct("line_no", line.alias("v"))), True).over(in_doc().rowsBetween(-reach, -1))
+    code = F.last(F.when(line.rlike(CODE_LINE) & ~line.rlike(r"^\d{1,4}$"), F.struct("line_no", line.alias("v"))), True).over(in_doc().rowsBetween(-reach, -1))
+    lines = lines.withColumn("above", F.when(label, above)).withColumn("serial", F.when(label, serial)).withColumn("code", F.when(label, code)).withColumn("label", label)
+    so_far = in_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("block", F.sum(F.col("label").cast("int")).over(so_far)).where("block > 0")
+    ends = ~F.col("label") & (c.isin("schedule", "total", "breakup", "priced", "description", "bid") | F.col("row").isNotNull() | F.col("skip"))
+    in_block = Window.partitionBy("doc_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("ended", F.max(ends).over(in_block)).where("not ended")
+    text = F.when(F.col("label"), nullif_empty(F.regexp_extract(line, DESCRIPTION, 2))).when((c == "text") & ~line.rlike(r"^\d{1,4}$"), line)
+    own = F.when(F.col("label"), F.struct("line_no", "offset", "page", "schedule", "above", "serial", "code", nullif_empty(F.regexp_extract(line, DESCRIPTION, 1)).alias("lead")))
+    g = lines.groupBy("doc_id", "block").agg(F.max_by(own, F.col("label").cast("int")).alias("a"), F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("line_no", text.alias("t"))))).alias("parts"))
+    desc = nullif_empty(truncate(clean_description(F.array_join(F.transform("parts", lambda p: p["t"]), " ")), MAX_DESC))
+    row, at = F.col("a.above.row"), F.col("a.above.line_no")
+    between = lambda f: F.when(F.col(f"a.{f}.line_no") > at, F.col(f"a.{f}.v"))
+    lead = F.col("a.lead")
+    numeric = F.coalesce(lead.rlike(r"^\d{1,4}$"), F.lit(False))
+    s_no = F.regexp_replace(F.coalesce(row["s_no"], between("serial"), F.when(numeric, lead)), r"^0+(?=\d)", "")
+    out = {f: row[f] for f in ITEM_FIELDS}
+    out |= {"s_no": s_no, "item_code": item_code(F.coalesce(row["item_code"], F.when(~numeric, lead), between("code"), s_no)), "description": desc, "schedule": F.coalesce(F.col("a.above.schedule"), F.col("a.schedule"))}
+    pages = F.when(F.col("a.page").isNotNull(), F.array(F.col("a.page").cast("int"))).otherwise(F.array().cast("array<int>"))
+    found = g.where(desc.isNotNull() & (at.isNotNull() | lead.isNotNull() & ~numeric))
+    return found.select("doc_id", F.lit(pass_no).alias("pass_no"), F.col("a.line_no").cast("bigint").alias("seq"), *[v.alias(f) for f, v in out.items()], pages.alias("page_numbers"), F.col("a.offset").alias("source_pos"))
+
+
 def parse_breakups(docs: DataFrame, pass_no: int = 5) -> DataFrame:
     """Rows of item breakup annexures; the parent comes from the ``Item - n`` line above."""
     lines = annotate(explode_lines(docs)).where("in_breakup and class <> 'blank'")
@@ -227,7 +308,8 @@ def all_passes(docs: DataFrame, from_tables: DataFrame | None = None) -> DataFra
     first = stages.write(from_tables.unionByName(first) if from_tables is not None else first)
     again = gem.join(first.select("doc_id").distinct(), "doc_id", "left_anti")
     schedules = rest.select("doc_id", "text", F.lit(2).alias("pass_no")).union(again.select("doc_id", "text", F.lit(4).alias("pass_no")))
-    found = stages.write(first.unionByName(parse_items(schedules)).unionByName(parse_breakups(rest)))
+    found = first.unionByName(parse_items(schedules)).unionByName(parse_breakups(rest))
+    found = stages.write(found.unionByName(sweep_regions(rest)).unionByName(parse_anchors(rest)))
     none = kind.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
     return found.unionByName(parse_paragraphs(none))
 

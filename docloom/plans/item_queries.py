@@ -340,6 +340,31 @@ def k07(spark: SparkSession, d: str) -> DataFrame:
     return items.parse_items(_wrapped(spark, d)).select("doc_id", "s_no", "description", "item_qty", "unit_rate", "schedule")
 
 
+def _crowded(spark: SparkSession, d: str) -> DataFrame:
+    """Coded rows that wrap after the code and after the unit, and share lines with the row before; then a row in a total."""
+    row = F.concat(F.lit(" "), sno(), F.lit("\n"), (F.col("l_partkey") + 10_000).cast("string"), F.lit(" "), render.money(F.col("l_quantity")), F.lit(" Nos\n"), F.concat_ws(" ", render.money(F.col("l_extendedprice")), render.money(F.col("l_discount")), F.lit("AT Par"), render.money(F.col("l_tax"))), F.lit("\n\nDescription:- "), render.description())
+    return render.documents(render.numbered(table(spark, d, "lineitem")), row, tail="Schedule Total\n9 99999 1.00 Nos 1.00 1.00 AT Par 1.00")
+
+
+@query("k08_sweep", f"{_NUMBERED} select doc_id, cast(sno as varchar) as s_no, cast(l_partkey + 10000 as varchar) as item_code, description, item_qty, 'Nos' as qty_unit, unit_rate, basic_value, 'AT Par' as escalation, amount, 'Schedule A-Supply Portion' as schedule from m")
+def k08(spark: SparkSession, d: str) -> DataFrame:
+    return items.sweep_regions(_crowded(spark, d)).select("doc_id", "s_no", "item_code", "description", "item_qty", "qty_unit", "unit_rate", "basic_value", "escalation", "amount", "schedule")
+
+
+@query("g04_regions", "select cast(o_orderkey as varchar) as doc_id, unnest(['Schedule A-x', 'Schedule B-y']) as schedule, unnest(['Schedule A-x' || chr(10) || 'one ' || o_custkey, 'Schedule B-y' || chr(10) || 'two ' || o_orderkey]) as text, unnest([length('head ' || o_orderkey) + 1, length('head ' || o_orderkey) + 1 + length('Schedule A-x' || chr(10) || 'one ' || o_custkey || chr(10) || 'Schedule Total 5.00' || chr(10) || 'gone' || chr(10))]) as start from orders")
+def g04(spark: SparkSession, d: str) -> DataFrame:
+    docs = _orders_text(spark, d, "head ", key(), "\nSchedule A-x\none ", F.col("o_custkey").cast("string"), "\nSchedule Total 5.00\ngone\nSchedule B-y\ntwo ", key(), "\n2. Item Breakup\nSchedule C-z\nthree\nSpecial Conditions\nfour")
+    return items.regions(docs).select("doc_id", "schedule", "text", F.col("offset").alias("start"))
+
+
+@query("k09_anchors", f"{_NUMBERED}, x as (select *, unnest([1, 2]) as k from m) select doc_id, cast(sno as varchar) as s_no, 'NS' || sno as item_code, case when k = 1 then description else 'Variant ' || l_partkey || ' of the same row' end as description, item_qty, amount, 'Schedule A-Supply Portion' as schedule from x union all select distinct doc_id, null, 'ZX7', 'Orphan with code', null, null, null from m")
+def k09(spark: SparkSession, d: str) -> DataFrame:
+    """Two descriptions below each row, page furniture between; a coded description without a row, one without anything."""
+    rows = F.concat(render.amounts(F.concat(F.lit("NS"), sno())), F.lit("\nTender No: X-1\n\nDescription:- "), render.description(), F.lit("\nAbove/\nDescription:- Variant "), F.col("l_partkey").cast("string"), F.lit("\nof the same row"))
+    docs = render.documents(render.numbered(table(spark, d, "lineitem")), rows, title=F.lit("Description:- alone\nZX7 Description:- Orphan with code\nSchedule () A-Supply Portion"))
+    return items.parse_anchors(docs).select("doc_id", "s_no", "item_code", "description", "item_qty", "amount", "schedule")
+
+
 @query("k11_paragraphs", f"{_NUMBERED} select doc_id, cast(sno as varchar) as s_no, description || ' qty: ' || cast(item_qty as varchar) || ' Nos' as description, item_qty, 'Nos' as qty_unit from m")
 def k11(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat(sno(), F.lit(". "), render.description(), F.lit(" qty: "), render.money(F.col("l_quantity")), F.lit(" Nos"))
