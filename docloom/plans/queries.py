@@ -60,7 +60,7 @@ for _kind, _code in {"plain": "cast(sno as varchar)", "amounts": "cast(sno as va
     _layout(_kind, _code)
 
 
-@query("k10_breakup_roundtrip", f"{_NUMBERED} select doc_id, cast(sno as varchar) as s_no, cast(sno as varchar) as item_code, description, item_qty, unit_rate, amount, 'Item 3 Breakup' as schedule, '3' as parent_s_no from m where sno < 1000")
+@query("k10_breakup_roundtrip", f"{_NUMBERED} select doc_id, cast(sno as varchar) as s_no, cast(sno as varchar) as item_code, description, item_qty, unit_rate, amount, 'Item 3 Breakup' as schedule, '3' as parent_s_no from m")
 def k10(spark: SparkSession, d: str) -> DataFrame:
     docs = render.documents(render.numbered(table(spark, d, "lineitem")), render.layout("breakup"), title=F.lit("Item Breakup\nItem- 3 Earthing"), tail="Total")
     return items.parse_breakups(docs).select("doc_id", "s_no", "item_code", "description", "item_qty", "unit_rate", "amount", "schedule", "parent_s_no")

@@ -6,7 +6,7 @@ import pytest
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["k01_boq_roundtrip", "d03_content_key", "d04_prefer_fold", "d08_parent_completion", "e04_serial_fill", "e10_history_budget", "c01_best_pages", "c07_outside_spans", "c17_apply_changes", "h20_portal_datetime", "h12_norm_num"]
+SOME = ["k01_boq_roundtrip", "d03_content_key", "d04_prefer_fold", "d08_parent_completion", "e04_serial_fill", "e10_history_budget", "c01_best_pages", "c07_outside_spans", "c17_apply_changes", "h20_portal_datetime", "h12_norm_num", "k08_sweep", "k09_anchors", "g04_regions", "h25_model_rows"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="driver tables are not here")
