@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat
+from . import chat, divergence, exact
 from .decontaminate import find_leaks
 from .embedding import near_embeddings
 from .html import main_text
@@ -17,6 +17,7 @@ from .mixing import mix
 from .quality import classify
 from .secrets import find_secrets
 from .suffix import remove_repeats
+from .tandem import PLANTED, digests, find_runs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,18 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(find_runs(table(spark, sf_dir, "documents"), text_col=F.expr(PLANTED)))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_rotation": op1_chat_rotation,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -76,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
-ORACLE: dict[str, str] = {"op1_chat_rotation": chat.SQL}
+ORACLE: dict[str, str] = {"op1_chat_rotation": chat.SQL, "op12_source_divergence": divergence.SQL, "op13_exact_dedup": exact.SQL}

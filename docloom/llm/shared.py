@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,19 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield b.slice(o, rows)
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int, size: int, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Record batches of at most so many rows and bytes of a text column (one row at least), so that a task's memory is
+    bounded by ``size`` or by its longest text."""
+    for b in batches:
+        length = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        total, o = np.cumsum(length, dtype=np.int64), 0
+        while o < b.num_rows:
+            done = total[o - 1] if o else 0
+            stop = min(max(int(np.searchsorted(total, done + size, side="right")), o + 1), o + rows)
+            yield b.slice(o, stop - o)
+            o = stop
+
+
 def binary(col: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return col.cast(pa.binary()).to_pylist()
 
