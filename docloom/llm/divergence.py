@@ -35,12 +35,14 @@ def source_divergence(docs: DataFrame, *, text_col: str = "text", least: int = L
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     terms = F.split(F.translate(empty(text_col), UPPER, UPPER.lower()), BETWEEN)
     rows = docs.select(empty("lang").alias("lang"), empty("source").alias("source"), terms.alias("terms"))
+    rows = rows.select(F.struct("lang", "source").alias("g"), "terms")
     # every occurrence once, and every term of a document once more
-    both = rows.select("lang", "source", F.explode_outer(F.array(F.struct(F.col("terms").alias("t"), F.lit(1).alias("c")), F.struct(F.array_distinct("terms").alias("t"), F.lit(0).alias("c")))).alias("x"))
-    each = both.select("lang", "source", F.explode_outer("x.t").alias("term"), F.col("x.c").alias("c"))
-    each = each.withColumn("term", F.nullif("term", F.lit("")))  # before the first and after the last separator
-    counts = stages.write(each.groupBy("lang", "source", "term").agg(F.sum("c").alias("count"), F.sum(1 - F.col("c")).alias("docs")))
-    groups = stages.write(counts.select("lang", "source").distinct())
+    both = rows.select("g", F.explode_outer(F.array(F.struct(F.col("terms").alias("t"), F.lit(1).alias("c")), F.struct(F.array_distinct("terms").alias("t"), F.lit(0).alias("c")))).alias("x"))
+    each = both.select("g", F.explode_outer("x.t").alias("term"), F.col("x.c").alias("c"))
+    counts = each.groupBy("g", "term").agg(F.sum("c").alias("count"), F.sum(1 - F.col("c")).alias("docs"))
+    # the empty string stands before a first and after a last separator
+    counts = stages.write(counts.select("g.*", F.nullif("term", F.lit("")).alias("term"), "count", "docs"))
+    groups = counts.select("lang", "source").distinct()
     kept = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("all")).where(F.col("docs") >= least).select("lang", "term", "all")
     kept = stages.write(kept)
     totals = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("all").alias("n_all"))
@@ -48,11 +50,12 @@ def source_divergence(docs: DataFrame, *, text_col: str = "text", least: int = L
     def share(count: str, n: str):
         return F.expr(f"1 + cast(1000000000 * cast({count} + 5 as decimal(19, 0)) as decimal(38, 0)) div cast({n} + 5 * v as decimal(38, 0))")
 
-    dense = kept.join(small(groups), "lang").join(counts.select("lang", "source", "term", "count"), ["lang", "source", "term"], "left")
-    dense = stages.write(dense.select("lang", "source", "term", "all", F.coalesce("count", F.lit(0)).alias("count")))
-    sums = dense.groupBy("lang", "source").agg(F.sum("count").alias("n")).join(totals, "lang")
-    p = dense.join(small(sums), ["lang", "source"])
-    p = stages.write(p.select("lang", "source", "term", "count", share("count", "n").alias("p"), share("all", "n_all").alias("q")))
+    some = stages.write(counts.select("lang", "source", "term", "count").join(kept.select("lang", "term"), ["lang", "term"]))
+    sums = some.groupBy("lang", "source").agg(F.sum("count").alias("n"))
+    groups = stages.write(groups.join(sums, ["lang", "source"], "left").join(totals, "lang", "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), "v", "n_all"))
+    dense = kept.join(small(groups), "lang").join(some, ["lang", "source", "term"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    p = stages.write(dense.select("lang", "source", "term", "count", share("count", "n").alias("p"), share("all", "n_all").alias("q")))
+    groups = groups.select("lang", "source")
     one, two = p.select("lang", "term", "source", "p"), p.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
     far = one.join(two, ["lang", "term"]).where("source < item").groupBy("lang", "source", "item").agg(F.sum(F.abs(F.col("p") - F.col("q"))).alias("value"))
     far = stages.write(far)
