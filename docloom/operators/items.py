@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import JUNK_FIRST, list_serial, portal, text_or_empty
 from ..functions.text import bind, clean_description, code_number, collapse, item_code, nullif_empty, strip, truncate
 from ..schemas import ITEM_FIELDS
-from .lines import annotate, explode_lines, in_doc, nearest_above, running
+from .lines import BY, annotate, explode_lines, in_doc, nearest_above, running
 
 # Units, bidding units, escalation and money of schedule rows.
 UNIT = r"[A-Za-z][A-Za-z./\-]{0,20}|Running\s*Mtr"
@@ -67,7 +67,11 @@ def layout_struct(name: str, line: Column) -> Column:
     return bind(groups, row)
 
 
-def match_rows(lines: DataFrame) -> DataFrame:
+#: How far :func:`match_rows` looks above and below a line.
+ABOVE, BELOW = 3, 2
+
+
+def match_rows(lines: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     """Lines with ``row``, the fields of the first layout that fits, null for other lines.
 
     The inline layout may wrap, so it is also tried on the line joined with one or two that follow.
@@ -75,10 +79,10 @@ def match_rows(lines: DataFrame) -> DataFrame:
     line = F.col("line")
     # every layout has an amount in it, on the line or on the two that may belong to it
     flowing = ~F.col("class").isin("schedule", "total", "breakup", "blank") & ~F.col("skip")
-    serial_above = nearest_above(F.when(list_serial(line), line), F.col("class").isin("priced", "schedule", "total"), 3)
+    serial_above = nearest_above(F.when(list_serial(line), line), F.col("class").isin("priced", "schedule", "total"), ABOVE, by)
     lines = lines.withColumn("serial_above", serial_above)
-    follow = [F.lead("line", k).over(in_doc()) for k in (1, 2)]
-    plain_next = [~F.coalesce(F.lead("class", k).over(in_doc()).isin("description", "schedule", "total", "breakup"), F.lit(True)) for k in (1, 2)]
+    follow = [F.lead("line", k).over(in_doc(by)) for k in (1, BELOW)]
+    plain_next = [~F.coalesce(F.lead("class", k).over(in_doc(by)).isin("description", "schedule", "total", "breakup"), F.lit(True)) for k in (1, BELOW)]
     starts = line.rlike(r"^\d{1,4}\s+(?:[A-Za-z]{1,6}\d{1,5}|\d{1,6})\b")
     wrap1 = F.when(starts & plain_next[0], F.concat_ws(" ", line, follow[0]))
     wrap2 = F.when(starts & plain_next[0] & plain_next[1], F.concat_ws(" ", line, follow[0], follow[1]))
@@ -103,15 +107,14 @@ def parse_items(docs: DataFrame, pass_no: int = 2) -> DataFrame:
     in_item = Window.partitionBy("doc_id", "item_no")
     label = F.col("class") == "description"
     lines = lines.withColumn("label_no", F.min(F.when(label, F.col("line_no"))).over(in_item))
-    ends = F.col("class").isin("schedule", "total", "breakup", "priced") & F.col("row").isNull() | label & (F.col("line_no") > F.col("label_no")) | F.col("skip") & F.col("row").isNull()
+    ends = closing() | label & (F.col("line_no") > F.col("label_no"))
     bid_end = (F.col("class") == "bid") & (F.col("line_no") > F.col("label_no"))
-    lines = lines.withColumn("end_no", F.coalesce(F.min(F.when((ends | bid_end) & (F.col("line_no") > F.coalesce("label_no", F.lit(0))), F.col("line_no"))).over(in_item), F.lit(2**31 - 1)))
-    text = (F.col("line_no") > F.col("label_no")) & (F.col("line_no") < F.col("end_no")) & F.col("class").isin("text", "serial") & ~F.col("line").rlike(r"^\d{1,4}$") & F.col("row").isNull()
+    lines = lines.withColumn("end_no", F.coalesce(F.min(F.when((ends | bid_end) & (F.col("line_no") > F.coalesce("label_no", F.lit(0))), F.col("line_no"))).over(in_item), F.lit(LAST)))
+    text = (F.col("line_no") > F.col("label_no")) & (F.col("line_no") < F.col("end_no")) & is_text()
     inline = label & (F.col("line_no") == F.col("label_no"))
-    own_code = nullif_empty(F.regexp_extract("line", DESCRIPTION, 1))
-    piece = F.when(inline, nullif_empty(F.regexp_extract("line", DESCRIPTION, 2))).when(text, F.col("line"))
-    code = F.when(inline, own_code).when((F.col("line_no") < F.coalesce("label_no", F.lit(2**31 - 1))) & F.col("row").isNull() & (F.col("line_no") < F.col("end_no")), nullif_empty(F.regexp_extract("line", CODE_LINE, 1)))
-    serial = F.when((F.col("class") == "serial") & (F.col("line_no") < F.col("end_no")) & list_serial(F.col("line")), F.regexp_replace("line", r"^0+(?=\d)", ""))
+    piece = F.when(inline, label_parts()[1]).when(text, F.col("line"))
+    code = F.when(inline, label_parts()[0]).when((F.col("line_no") < F.coalesce("label_no", F.lit(LAST))) & F.col("row").isNull() & (F.col("line_no") < F.col("end_no")), own_code())
+    serial = F.when(F.col("line_no") < F.col("end_no"), own_serial())
     g = lines.groupBy("doc_id", "item_no").agg(
         F.max("row").alias("row"),
         F.min(F.when(F.col("row").isNotNull(), F.struct("line_no", "offset", "page", "schedule"))).alias("at"),
@@ -119,6 +122,38 @@ def parse_items(docs: DataFrame, pass_no: int = 2) -> DataFrame:
         F.min(F.when(serial.isNotNull(), F.struct("line_no", serial.alias("v")))).alias("serial"),
         F.array_sort(F.collect_list(F.when(piece.isNotNull(), F.struct("line_no", piece.alias("t"))))).alias("parts"),
     )
+    return assemble(g, pass_no)
+
+
+#: Above every line number.
+LAST = 2**31 - 1
+
+
+def closing() -> Column:
+    """Whether a line ends an item's description by its class or because rows are switched off."""
+    return F.col("row").isNull() & (F.col("class").isin("schedule", "total", "breakup", "priced") | F.col("skip"))
+
+
+def is_text() -> Column:
+    """Whether a line may belong to a description."""
+    return F.col("class").isin("text", "serial") & ~F.col("line").rlike(r"^\d{1,4}$") & F.col("row").isNull()
+
+
+def label_parts() -> tuple[Column, Column]:
+    """The code before a description's label and the text behind it."""
+    return nullif_empty(F.regexp_extract("line", DESCRIPTION, 1)), nullif_empty(F.regexp_extract("line", DESCRIPTION, 2))
+
+
+def own_code() -> Column:
+    return nullif_empty(F.regexp_extract("line", CODE_LINE, 1))
+
+
+def own_serial() -> Column:
+    return F.when((F.col("class") == "serial") & list_serial(F.col("line")), F.regexp_replace("line", r"^0+(?=\d)", ""))
+
+
+def assemble(g: DataFrame, pass_no: int) -> DataFrame:
+    """Items of one row per item: row, place (at), first code and serial, description pieces."""
     found, row = item_code(F.col("code.v")), F.col("row")
     digits = F.coalesce(found.rlike(r"^\d{1,4}$"), F.lit(False))
     s_no = F.coalesce(row["s_no"], F.when(digits, found), F.col("serial.v"))

@@ -12,8 +12,12 @@ from ..functions.predicates import line_class
 from ..functions.text import schedule_title, strip
 
 
-def in_doc() -> WindowSpec:
-    return Window.partitionBy("doc_id").orderBy("line_no")
+#: What parts the windows over lines: whole documents here, their blocks in ``blocks``.
+BY = ("doc_id",)
+
+
+def in_doc(by: tuple[str, ...] = BY) -> WindowSpec:
+    return Window.partitionBy(*by).orderBy("line_no")
 
 
 def so_far() -> WindowSpec:
@@ -35,15 +39,27 @@ def running(event: Column, state: Column) -> Column:
     return F.last(F.when(event, state), True).over(so_far())
 
 
-def annotate(lines: DataFrame) -> DataFrame:
-    """Class, page and schedule above each line, and whether a total or breakup switched lines off."""
+def events() -> dict[str, Column]:
+    """The registers of a line pass: what a line with a ``class`` sets each to, null if it leaves it as it is."""
     c = F.col("class")
     page = F.regexp_extract("line", r"^\[\[PAGE:(\d+)\]\]", 1)
+    return {
+        "page": F.when(page != "", page.try_cast("int")), "schedule": F.when(c == "schedule", schedule_title(F.col("line"))),
+        "skip": F.when(c.isin("schedule", "total", "breakup"), c.isin("total", "breakup")), "in_breakup": F.when(c.isin("schedule", "breakup"), c == "breakup"),
+    }
+
+
+def switched(lines: DataFrame) -> DataFrame:
+    """The switches are off where no line has set them."""
+    return lines.withColumn("skip", F.coalesce("skip", F.lit(False))).withColumn("in_breakup", F.coalesce("in_breakup", F.lit(False)))
+
+
+def annotate(lines: DataFrame) -> DataFrame:
+    """Class, page and schedule above each line, and whether a total or breakup switched lines off."""
     out = lines.withColumn("class", line_class(F.col("line")))
-    out = out.withColumn("page", running(page != "", page.try_cast("int")))
-    out = out.withColumn("schedule", running(c == "schedule", schedule_title(F.col("line"))))
-    out = out.withColumn("skip", F.coalesce(running(c.isin("schedule", "total", "breakup"), c.isin("total", "breakup")), F.lit(False)))
-    return out.withColumn("in_breakup", F.coalesce(running(c.isin("schedule", "breakup"), c == "breakup"), F.lit(False)))
+    for name, event in events().items():
+        out = out.withColumn(name, F.last(event, True).over(so_far()))
+    return switched(out)
 
 
 def as_of(points: DataFrame, marks: DataFrame, *, by: str = "doc_id", at: str = "pos", mark: str = "mark", value: str = "value") -> DataFrame:
@@ -66,9 +82,9 @@ def outside(points: DataFrame, spans: DataFrame, *, by: str = "doc_id", at: str
     return both.withColumn("_open", F.sum("_d").over(w)).where("_p = 1 and _open = 0").drop("_d", "_p", "_at", "_open")
 
 
-def nearest_above(value: Column, stop: Column, n: int) -> Column:
+def nearest_above(value: Column, stop: Column, n: int, by: tuple[str, ...] = BY) -> Column:
     """The nearest non-null value in the n lines above, unless a stop line is nearer."""
-    w = in_doc().rowsBetween(-n, -1)
+    w = in_doc(by).rowsBetween(-n, -1)
     v = F.last(F.when(value.isNotNull() | stop, F.struct(stop.alias("stop"), value.alias("value"))), True).over(w)
     return F.when(~v["stop"], v["value"])
 

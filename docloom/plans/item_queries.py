@@ -14,7 +14,7 @@ from ..functions import arrow
 from ..functions import describe as D
 from ..functions import predicates as P
 from ..functions import text as T
-from ..operators import export, fields, header, items, lines, memory, merge, names, tables
+from ..operators import blocks, export, fields, header, items, lines, memory, merge, names, tables
 from ..schemas import ITEM_FIELDS
 from ..sources import pages as page_source
 from . import flow, render
@@ -335,11 +335,21 @@ def _wrapped(spark: SparkSession, d: str) -> DataFrame:
     return render.documents(render.numbered(table(spark, d, "lineitem")), F.concat(head, line, body), title=F.lit("x"), tail="Schedule Total")
 
 
-@query("k07_wrapped_schedules", f"{_NUMBERED} select doc_id, cast(sno as varchar) as s_no, 'Supply of part ' || l_partkey || ' from supplier ' || split_part(description, 'supplier ', 2) as description, item_qty, unit_rate, 'Schedule ' || string_split('A,B,C,D,E,F,G,H,J,K,L,M,N,P,Q,R,S,T,U,V,W,X,Y,Z', ',')[cast((sno - 1) // 3 % 24 + 1 as integer)] || '-Part works' as schedule from m")
+_WRAPPED_SQL = f"{_NUMBERED} select doc_id, cast(sno as varchar) as s_no, 'Supply of part ' || l_partkey || ' from supplier ' || split_part(description, 'supplier ', 2) as description, item_qty, unit_rate, 'Schedule ' || string_split('A,B,C,D,E,F,G,H,J,K,L,M,N,P,Q,R,S,T,U,V,W,X,Y,Z', ',')[cast((sno - 1) // 3 % 24 + 1 as integer)] || '-Part works' as schedule from m"
+
+
+@query("k07_wrapped_schedules", _WRAPPED_SQL)
 def k07(spark: SparkSession, d: str) -> DataFrame:
     return items.parse_items(_wrapped(spark, d)).select("doc_id", "s_no", "description", "item_qty", "unit_rate", "schedule")
 
 
+@query("e03_block_scan", _WRAPPED_SQL.replace("select doc_id,", "select 'all' as doc_id,"))
+def e03_block_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same schedules as one document, a piece per order: its lines are read in blocks."""
+    pieces = _wrapped(spark, d).select(F.lit("all").alias("doc_id"), F.col("doc_id").cast("bigint").alias("piece_no"), "text")
+    return blocks.parse_items_blocked(pieces).select("doc_id", "s_no", "description", "item_qty", "unit_rate", "schedule")
+
+
 def _crowded(spark: SparkSession, d: str) -> DataFrame:
     """Coded rows that wrap after the code and after the unit, and share lines with the row before; then a row in a total."""
     row = F.concat(F.lit(" "), sno(), F.lit("\n"), (F.col("l_partkey") + 10_000).cast("string"), F.lit(" "), render.money(F.col("l_quantity")), F.lit(" Nos\n"), F.concat_ws(" ", render.money(F.col("l_extendedprice")), render.money(F.col("l_discount")), F.lit("AT Par"), render.money(F.col("l_tax"))), F.lit("\n\nDescription:- "), render.description())
