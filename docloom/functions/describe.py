@@ -237,8 +237,8 @@ def checked_name(full: Column, name: Column, extra: tuple[str, ...] = ()) -> Col
     return F.when(name.isNull(), F.when(~clause_or_junk(full), own)).otherwise(usable)
 
 
-def product_name(full: Column, learned: Column | None = None, extra: tuple[str, ...] = (), prefixes: tuple[str, ...] = ()) -> Column:
+def product_name(full: Column, learned: Column | None = None, extra: tuple[str, ...] = (), rest: Column | None = None) -> Column:
     """I22 of a normal description: a learned name, the rest after a learned prefix, else what the scope grammar leaves."""
-    rests = [F.when(full.rlike(p), finish_name(nullif_empty(strip(re(full, p, ""))))) for p in prefixes]
-    found = F.coalesce(*([] if learned is None else [learned]), *rests, finish_name(strip_scope(full, extra)))
+    known = [*([] if learned is None else [learned]), *([] if rest is None else [finish_name(rest)])]
+    found = F.coalesce(*known, finish_name(strip_scope(full, extra)))
     return F.when(full.isNotNull(), bind(found, lambda name: F.when(name.isNotNull(), checked_name(full, name, extra))))

@@ -15,6 +15,7 @@ from ..functions import describe as D
 from ..functions import predicates as P
 from ..functions import text as T
 from ..operators import blocks, export, fields, header, items, lines, memory, merge, names, tables
+from ..operators.rules import match_rules
 from ..schemas import ITEM_FIELDS
 from ..sources import pages as page_source
 from . import flow, render
@@ -226,9 +227,59 @@ def c08(spark: SparkSession, d: str) -> DataFrame:
     return _event_lines(spark, d).select("line_no", lines.nearest_above(F.when(F.col("line") == "signup", F.col("line_no")), F.col("line") == "error", 3).alias("above"))
 
 
-@query("c16_learned_prefix", "select p_partkey, case when p_name like 'small %' then substr(p_name, 7) when p_name like 'c%' then nullif(substr(p_name, 2), '') end as rest from part")
+@query("c03_rules", r"""
+with t as (
+  select o_orderkey, 'buyer C-' || lpad(cast(o_custkey as varchar), 7, '0') || ' ' || coalesce(string_agg('item P-' || lpad(cast(l_partkey as varchar), 7, '0') || ' by S-' || lpad(cast(l_suppkey as varchar), 5, '0') || case when l_linenumber % 2 = 0 then ' model M' || lpad(cast(l_partkey as varchar), 7, '0') else '' end, '; '), '') as text
+  from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_custkey),
+x as (
+  select o_orderkey, 'code' as field, '(?:item|part)\s*(?:no\.?\s*)?p-' || lpad(cast(min(l_partkey) as varchar), 7, '0') || '\b' as pattern from orders join lineitem on l_orderkey = o_orderkey group by 1
+  union all select o_orderkey, 'model', '\bm' || lpad(cast(max(l_partkey) as varchar), 7, '0') || '\b' from orders join lineitem on l_orderkey = o_orderkey where l_linenumber % 2 = 0 group by 1
+  union all select o_orderkey, 'buyer', 'Buyer\s+c-' || lpad(cast(o_custkey as varchar), 7, '0') from orders
+  union all select o_orderkey, 'seller', 's-' || lpad(cast(min(l_suppkey) as varchar), 5, '0') || '\b|supplier\s+' || min(l_suppkey) || '\b' from orders join lineitem on l_orderkey = o_orderkey group by 1)
+select * from x union all select o_orderkey, 'nines', '\d9{2}\b' from t where regexp_matches(text, '[0-9]99($|[^0-9A-Za-z_])')""")
+def c03(spark: SparkSession, d: str) -> DataFrame:
+    """Some thousand rules, grown with the parts, customers and suppliers, on the orders' texts; one rule without a literal."""
+    pad = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
+    part = table(spark, d, "part")
+    rules = part.select(F.lit("code").alias("field"), F.col("p_partkey").alias("priority"), F.concat(F.lit(r"(?:item|part)\s*(?:no\.?\s*)?p-"), pad("p_partkey", 7), F.lit(r"\b")).alias("pattern"))
+    rules = rules.union(part.select(F.lit("model"), -F.col("p_partkey"), F.concat(F.lit(r"\bm"), pad("p_partkey", 7), F.lit(r"\b"))))
+    rules = rules.union(table(spark, d, "customer").select(F.lit("buyer"), F.col("c_custkey"), F.concat(F.lit(r"Buyer\s+c-"), pad("c_custkey", 7))))
+    rules = rules.union(table(spark, d, "supplier").select(F.lit("seller"), F.col("s_suppkey"), F.concat(F.lit("s-"), pad("s_suppkey", 5), F.lit(r"\b|supplier\s+"), F.col("s_suppkey").cast("string"), F.lit(r"\b"))))
+    rules = rules.union(part.limit(1).select(F.lit("nines"), F.lit(1).cast("bigint"), F.lit(r"\d9{2}\b")))
+    line = F.concat(F.lit("item P-"), pad("l_partkey", 7), F.lit(" by S-"), pad("l_suppkey", 5), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(" model M"), pad("l_partkey", 7))).otherwise(""))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(line), "; ").alias("lines"))
+    docs = table(spark, d, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    docs = docs.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("buyer C-"), pad("o_custkey", 7), F.lit(" "), F.coalesce("lines", F.lit(""))).alias("text"))
+    return match_rules(docs, rules).withColumnRenamed("doc_id", "o_orderkey")
+
+
+@query("c16_learned_prefix", """
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, case l_orderkey % 4 when 0 then 'widget ' || l_suppkey when 1 then nullif(trim(substr(cast(l_partkey as varchar), 2) || ' spare'), '') end as rest
+from (select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem)""")
 def c16(spark: SparkSession, d: str) -> DataFrame:
-    return names.prefix_rest(table(spark, d, "part").withColumn("description", F.col("p_name")), [r"^small\s+", "^c"]).select("p_partkey", "rest")
+    """Two prefixes per part, one of several pieces and one whose piece goes on in the text; the first in the list wins."""
+    k = part_key()
+    part = table(spark, d, "part")
+    prefixes = part.select(F.concat(F.lit("Provision, fit & test of kit "), k, F.lit(" for")).alias("prefix"), F.col("p_partkey").alias("list_pos"))
+    prefixes = prefixes.union(part.select(F.concat(F.lit("Kit"), k), F.col("p_partkey") + 10**9))
+    one = F.concat(F.lit("provision ,fit&  TEST of  kit "), F.col("l_partkey").cast("string"), F.lit(" for widget "), F.col("l_suppkey").cast("string"))
+    two = F.concat(F.lit("kit"), F.col("l_partkey").cast("string"), F.lit(" spare"))
+    other = F.concat(F.lit("provision fit "), F.col("l_partkey").cast("string"))
+    m = F.col("l_orderkey") % 4
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct().withColumn("description", F.when(m == 0, one).when(m == 1, two).otherwise(other))
+    return names.prefix_rest(rows, prefixes).drop("description")
+
+
+@query("i25_learn_prefix", r"""
+select p_partkey, 'provision of kit ' || p_partkey || ', tuning & fitting of ' || p_name as key, 'Provision of kit ' || p_partkey || ', tuning & fitting of' as prefix,
+  '(?i)^Provision\s+of\s+kit\s+' || p_partkey || '\s*,\s*tuning\s*&\s*fitting\s+of' as pattern, 'tuning,fitting' as verbs from part""")
+def i25(spark: SparkSession, d: str) -> DataFrame:
+    """What the correction of each part's name teaches; the older of two corrections is forgotten."""
+    part = table(spark, d, "part")
+    said = lambda name, at: part.select("p_partkey", F.concat(F.lit("Provision of kit "), part_key(), F.lit(", tuning & fitting of "), F.col("p_name")).alias("description"), name.alias("name"), F.lit(at).cast("bigint").alias("learned_at"))
+    found = names.learn(said(F.lit("old name"), 1).union(said(F.col("p_name"), 2)).drop("p_partkey"))
+    key = F.regexp_extract("prefix", r"kit (\d+)", 1).cast("bigint")
+    return found.select(key.alias("p_partkey"), "key", "prefix", "pattern", F.array_join("verbs", ",").alias("verbs"))
 
 
 @query("c19_second_chance", "with h as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as r, count(*) over (partition by user_id) as n from events where event_type = 'error'), f as (select user_id as q_id, event_id as vec_id, r as rank from h where r <= 1 + user_id % 2), s as (select q_id, count(*) as n from f group by 1), m as (select h.user_id as q_id, h.event_id as vec_id, h.r as rank from h where r <= 6), a as (select q_id, vec_id, 0 as part, rank from f union all select m.q_id, m.vec_id, 1, m.rank from m left join s using (q_id) where coalesce(s.n, 0) < 2 and not exists (select 1 from f where f.q_id = m.q_id and f.vec_id = m.vec_id)), z as (select q_id, vec_id, row_number() over (partition by q_id order by part, rank) as rank from a) select q_id, vec_id, cast(rank as integer) as rank from z where rank <= 4")

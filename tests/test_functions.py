@@ -85,8 +85,8 @@ def test_learning(spark):
     learned = names.learn(c)
     (r,) = learned.collect()
     assert (r.key, r.name, r.prefix, r.verbs) == ("casting and supply of pillar box", "pillar box", "Casting and supply of", ["casting"])
-    name = lambda c: A.product_name(A.normal_description(c), None, tuple(r.verbs), (r.pattern,))
-    assert column(spark, name, ["Casting and  supply of lamp post"]) == ["lamp post"]
+    given = names.prefix_rest(spark.createDataFrame([("Casting and  supply of lamp post",)], "description string"), names.learned_prefixes(learned))
+    assert [x.n for x in given.select(A.product_name(A.normal_description(F.col("description")), None, tuple(r.verbs), F.col("rest")).alias("n")).collect()] == ["lamp post"]
     assert names.reject(learned, spark.createDataFrame([("casting and supply of Pillar box",)], "description string")).collect() == []
 
 

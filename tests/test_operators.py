@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from docloom.operators import fields, header, items, lines, memory, merge, tables
+from docloom.operators.rules import match_rules
 from docloom.schemas import ITEM_FIELDS, ITEM_SCHEMA
 from docloom.sources import pages, sinks
 
@@ -123,7 +124,7 @@ def test_search_and_rules_take_all_rows(spark):
     assert got == {k: 1 if k <= 1 else 2 for k in range(2500)}
     d = spark.createDataFrame([(1, "see mark10400 here")], "doc_id int, text string")
     rules = spark.range(10_500).selectExpr("'f' as field", "cast(id as int) as priority", r"concat('mark', id, '\\b') as pattern")
-    assert [r.pattern for r in fields.match_rules(d, rules).collect()] == [r"mark10400\b"]
+    assert [r.pattern for r in match_rules(d, rules).collect()] == [r"mark10400\b"]
 
 
 def test_pages_and_sinks(spark, tmp_path):
