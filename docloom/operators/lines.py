@@ -39,12 +39,12 @@ def running(event: Column, state: Column) -> Column:
     return F.last(F.when(event, state), True).over(so_far())
 
 
-def events() -> dict[str, Column]:
-    """The registers of a line pass: what a line with a ``class`` sets each to, null if it leaves it as it is."""
-    c = F.col("class")
-    page = F.regexp_extract("line", r"^\[\[PAGE:(\d+)\]\]", 1)
+def events(line: Column | None = None, c: Column | None = None) -> dict[str, Column]:
+    """The registers of a line pass: what a line of class c sets each to, null if it leaves it as it is."""
+    line, c = F.col("line") if line is None else line, F.col("class") if c is None else c
+    page = F.regexp_extract(line, r"^\[\[PAGE:(\d+)\]\]", 1)
     return {
-        "page": F.when(page != "", page.try_cast("int")), "schedule": F.when(c == "schedule", schedule_title(F.col("line"))),
+        "page": F.when(page != "", page.try_cast("int")), "schedule": F.when(c == "schedule", schedule_title(line)),
         "skip": F.when(c.isin("schedule", "total", "breakup"), c.isin("total", "breakup")), "in_breakup": F.when(c.isin("schedule", "breakup"), c == "breakup"),
     }
 

@@ -194,8 +194,6 @@ def d09(spark: SparkSession, d: str) -> DataFrame:
     return memory.dedupe_model_rows(c).select("doc_id", "seq", F.col("s_no").alias("position"))
 
 
-QUERIES["d09_dedupe_whole_rows"], ORACLE["d09_dedupe_whole_rows"] = QUERIES["d09_dedupe_model_rows"], _D09_WHOLE
-
 
 @query("d10_longest_value", "select cast(o_custkey as varchar) as doc_id, o_orderstatus as key, max_by(o_orderpriority, length(o_orderpriority) * 10000000 - o_orderkey) as value from orders group by 1, 2")
 def d10(spark: SparkSession, d: str) -> DataFrame:
@@ -226,8 +224,6 @@ def c01(spark: SparkSession, d: str) -> DataFrame:
     return page_source.best_pages(first, other).select("doc_id", "page_number", "char_count", "second")
 
 
-QUERIES["c01_best_whole_pages"], ORACLE["c01_best_whole_pages"] = QUERIES["c01_best_pages"], ORACLE["c01_best_pages"]
-
 
 @query("b01_page_classes", f"{_PAGES}, r as (select doc_id, count(*) as page_count, avg(case when y < 1500 then 1.0 else 0.0 end) as ratio from a group by 1) select doc_id, page_count, case when ratio >= 0.55 then 'scanned' when ratio > 0 then 'mixed' else 'text' end as pdf_type from r")
 def b01(spark: SparkSession, d: str) -> DataFrame:
@@ -281,8 +277,6 @@ def c18(spark: SparkSession, d: str) -> DataFrame:
     return memory.top_k(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec")), v).select("q_id", "vec_id", F.col("rank").cast("int").alias("rank"))
 
 
-QUERIES["c18_search_all"], ORACLE["c18_search_all"] = QUERIES["c18_memory_top_k"], ORACLE["c18_memory_top_k"]
-
 
 @query("a21_memory_upsert", "with t as (select *, substr(sha1(conv_id || ':' || role || ':' || substr(trim(text, chr(10) || ' '), 1, 200)), 1, 24) as id, row_number() over (partition by conv_id, role, substr(trim(text, chr(10) || ' '), 1, 200) order by turn desc) as r from conversations) select id, cast(conv_id as varchar) as chat_id, role, turn as at from t where r = 1 and length(text) >= 2")
 def a21(spark: SparkSession, d: str) -> DataFrame:
