@@ -180,11 +180,39 @@ def i18(spark: SparkSession, d: str) -> DataFrame:
     return header.section(docs, "contact").select("doc_id", "officer_name", "email", "phone", "website")
 
 
-@query("i21_clauses_rendered", "select cast(o_orderkey as varchar) as doc_id, unnest(['Payment Terms', 'Warranty']) as clause_type, unnest(['Pay ' || o_custkey || ' within thirty days of the bill.', 'Two years for order ' || o_orderkey || ' from supply.']) as content, unnest([1, 2]) as page_number from orders")
+@query("i21_clauses_rendered", """select cast(o_orderkey as varchar) as doc_id, unnest(['Payment Terms', 'Warranty']) as clause_type,
+  unnest(['Pay ' || o_custkey || ' within thirty days of the bill, against invoices in three copies and the receipt of the consignee.' || chr(10) || '[[PAGE:2]]', 'Two years for order ' || o_orderkey || ' from supply.']) as content, unnest([1, 2]) as page_number from orders""")
 def i21(spark: SparkSession, d: str) -> DataFrame:
-    docs = _orders_text(spark, d, "[[PAGE:1]]\nPayment Terms:\nPay ", F.col("o_custkey").cast("string"), " within thirty days of the bill.\n[[PAGE:2]]\n3. Warranty\nTwo years for order ", key(), " from supply.\n")
-    out = fields.clauses(docs)
-    return out.select("doc_id", "clause_type", F.regexp_replace("content", r"\s*\[\[PAGE:2\]\][\s\S]*", "").alias("content"), "page_number")
+    """The content is whole: a clause runs over the page mark up to the next heading."""
+    docs = _orders_text(spark, d, "[[PAGE:1]]\nPayment Terms:\nPay ", F.col("o_custkey").cast("string"), " within thirty days of the bill, against invoices in three copies and the receipt of the consignee.\n[[PAGE:2]]\n3. Warranty\nTwo years for order ", key(), " from supply.\n")
+    return fields.clauses(docs).select("doc_id", "clause_type", "content", "page_number")
+
+
+def _instructions(spark: SparkSession, d: str) -> DataFrame:
+    """Rules from the parts, each twice in other letters, added to the store of the even ones."""
+    part = table(spark, d, "part")
+    say = lambda word: part.select(F.concat(F.lit(f"  {word} name part  "), part_key(), F.lit(" in full ")).alias("text"), F.lit("chat").alias("source"), F.col("p_partkey").alias("created"))
+    store = memory.add_instructions(say("always").limit(0), say("always").where("created % 2 = 0"))
+    return memory.add_instructions(store, say("always").union(say("ALWAYS").withColumn("created", F.col("created") + 1_000_000)))
+
+
+@query("a17_instructions", "select 'always name part ' || p_partkey || ' in full' as text, p_partkey as created from part order by p_partkey desc limit 40")
+def a17(spark: SparkSession, d: str) -> DataFrame:
+    return _instructions(spark, d).select("text", "created")
+
+
+@query("h31_instruction_block", "select string_agg(n || '. always name part ' || p_partkey || ' in full', chr(10) order by n) as block from (select p_partkey, row_number() over (order by p_partkey) as n from (select p_partkey from part order by 1 desc limit 15))")
+def h31(spark: SparkSession, d: str) -> DataFrame:
+    return memory.instruction_block(_instructions(spark, d))
+
+
+@query("f06_newest_chats", "select cast(conv_id as varchar) as id, count(*) filter (conv_id % 3 <> 1) as messages from conversations group by conv_id having conv_id % 3 <> 1")
+def f06(spark: SparkSession, d: str) -> DataFrame:
+    """Chats of the conversations, every third without messages and title."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("text").alias("messages"), F.min("turn").alias("created"))
+    empty = F.col("conv_id") % 3 == 1
+    chats = c.select(F.col("conv_id").cast("string").alias("id"), F.when(~empty, "named").alias("title"), "created", F.when(empty, F.array().cast("array<string>")).otherwise(F.col("messages")).alias("messages"))
+    return memory.newest_chats(chats).select("id", F.size("messages").cast("bigint").alias("messages"))
 
 
 # ---- C, E: lookups, running state ----
@@ -507,3 +535,38 @@ def e12(spark: SparkSession, d: str) -> DataFrame:
 def b27(spark: SparkSession, d: str) -> DataFrame:
     return memory.upload_spans(table(spark, d, "conversations").select("conv_id", "turn"), F.col("turn") % 3 == 0).select("conv_id", "turn", F.col("span").cast("bigint").alias("span"))
 
+
+
+@query("i07_grid_pairs", """
+select cast(o_orderkey as varchar) as doc_id, unnest(['tender_no', 'tender_type', 'name_of_work']) as field, unnest(['T-' || o_orderkey, 'Open ' || o_custkey, 'Supply of the longer list ' || o_orderkey]) as value from orders""")
+def i07(spark: SparkSession, d: str) -> DataFrame:
+    """Key/value grids: two pairs on a row, a value in two cells, and the longer of two names of work."""
+    row = lambda *cells: F.array(*[F.lit(c) if isinstance(c, str) else c for c in cells])
+    k = F.col("o_orderkey").cast("string")
+    rows = F.array(row("Name of Work", "Supply"), row("Tender Type", "Open", F.col("o_custkey").cast("string"), ""), row("Name of Work", F.concat(F.lit("Supply of the longer list "), k)))
+    grids = table(spark, d, "orders").select(k.alias("doc_id"), F.lit(1).alias("page_number"), F.lit(0).alias("table_no"), row("Tender No", F.concat(F.lit("T-"), k)).alias("headers"), rows.alias("rows"))
+    return fields.grid_pairs(grids)
+
+
+_scalar("i11_railway", "orders", "o_orderkey", lambda: fields.railway(F.concat(F.lit("x\nRailway Name: W"), F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 3 == 1, " railway website").otherwise(" line"), F.lit("\ny")), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("E"), F.col("o_custkey").cast("string"), F.lit(" RLY")))), "case o_orderkey % 3 when 0 then 'E' || o_custkey || ' RLY' when 2 then 'W' || o_custkey || ' line' end")
+_scalar("i19_section", "orders", "o_orderkey", lambda: fields.slice_section(F.concat(F.lit("a\n2. Scope of Supply\nitems of "), F.col("o_custkey").cast("string"), F.lit(" as listed\nand "), F.col("o_orderkey").cast("string"), F.lit("\nPayment Terms\nnet")), ["aims", r"scope\s+of\s+supply"]), "chr(10) || 'items of ' || o_custkey || ' as listed' || chr(10) || 'and ' || o_orderkey || chr(10)")
+
+
+@query("k06_pointers", """
+select cast(o_orderkey as varchar) as doc_id, 'NS' || (o_orderkey % 90 + 1) as item_code, 'Annexure work ' || o_custkey as description, cast(cast(o_totalprice as decimal(18,2)) as varchar) as amount, 'AT Par' as escalation, cast(null as varchar) as item_qty, 'Schedule A-x' as schedule from orders""")
+def k06(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that only point to an annexure and give its amount."""
+    docs = _orders_text(spark, d, "Schedule () A-x\nPlease see Item Breakup for details ", price(), " at par ", price(), "\nNS", (F.col("o_orderkey") % 90 + 1).cast("string"), "\nDescription:- Annexure work ", F.col("o_custkey").cast("string"), "\nSchedule Total\n")
+    return items.parse_items(docs).select("doc_id", "item_code", "description", "amount", "escalation", "item_qty", "schedule")
+
+
+@query("d01_full_text", "select page_id % 20 as doc_id, string_agg(url, chr(10) || chr(10) order by page_id) as text from pages group by 1")
+def d01(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages").select((F.col("page_id") % 20).alias("doc_id"), F.col("page_id").alias("page_number"), F.col("url").alias("text"))
+    return page_source.full_text(p, marked=False).select("doc_id", "text")
+
+
+@query("g02_placeholder", "select cast(null as bigint) as o_orderkey, cast(null as varchar) as o_orderstatus, 'none' as part union all select o_orderkey, o_orderstatus, 'some' from orders")
+def g02(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return export.or_placeholder(o.where("o_orderkey < 0")).withColumn("part", F.lit("none")).union(export.or_placeholder(o).withColumn("part", F.lit("some")))

@@ -93,3 +93,18 @@ def test_learning(spark):
 def test_grounded(spark):
     df = spark.createDataFrame([("LED board", "supply of led board", True), ("cable drum", "relay", False), (None, "x", False)], "n string, d string, want boolean")
     assert all(r.got == r.want for r in df.select("want", P.grounded(F.col("n"), F.col("d")).alias("got")).collect())
+
+
+def test_header_cleaners(spark):
+    assert column(spark, fields.tender_token, [" : NR-77/02 Closing Date x", "of", "Closing Date 5", '"GEM/2024/B/7".', None]) == ["NR-77/02", None, None, "GEM/2024/B/7", None]
+    assert column(spark, fields.clean_period, ["18Months in all", "within 9 weeks", "30", "as agreed", None]) == ["18 Months", "9 weeks", "30", "as agreed", None]
+    assert column(spark, fields.clean_division, ["NORTH / ER", "Tender Type Open", "see www.a.b"]) == ["NORTH", None, None]
+    assert column(spark, fields.closing, ["Bid End Date 4 May 2024\nClosing date / time : 01/02/2024 10:15", "Bid end date: 4 May 2024", None]) == ["01/02/2024 10:15", "4 May 2024", None]
+    assert column(spark, fields.tender_no, ["against Tender No 88-Y-2 for x", "GEM Bid Number: GEM/2023/B/9", "Tender No. of bidders"]) == ["88-Y-2", "GEM/2023/B/9", None]
+    assert column(spark, fields.name_of_work, ["Name of the work - fan\nand lamp\nBidding Type x", "Name of Work: nil", "no"]) == ["fan and lamp", None, None]
+
+
+def test_specification_numbers(spark):
+    given = ["by RDSO/Spn/211 version 2 now", "RDSO/SPN305/2018 Rev. 1.0", "IRS: TC 31-2011 (Rev.1)", "IRS : S -9/94 or", "IS: 732/1989 and IS 302 (Part 2) 2008", "No. STS / E / TAN / 4005 dated", "latest RDSO specs"]
+    want = ["RDSO/SPN/211 Ver. 2", "RDSO/SPN/305/2018 Rev. 1.0", "IRS:TC-31-2011 (Rev.1)", "IRS:S-9/94", "IS:732/1989; IS 302 (Part 2) 2008", "STS/E/TAN/4005", None]
+    assert column(spark, names.spec_numbers, given) == want
