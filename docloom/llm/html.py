@@ -48,6 +48,14 @@ _DROP = frozenset("aside audio button canvas datalist dialog footer form head in
 _DROP_ROLE = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _DROP_WORD = frozenset("ad ads advert advertisement breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager promoted replies sharing sidebar signup social sponsor sponsored subscribe toolbar".split())
 _DOUBT = frozenset("banner popup promo recommended related share widget".split())
+#: Of these, words that also name topics: with other words beside them (``ad-hoc``, ``menu-history``) the text decides.
+_TOPIC = frozenset("ad ads advert comment comments menu modal nav navigation notice notices overlay replies sharing social sponsor".split())
+#: Words of a name that say nothing about its subject.
+_NEUTRAL = frozenset(
+    "all area articles author bar block body bottom box btn button buttons card cards col column container content count counter desktop entry facebook fb feed fixed footer form global google grid group header holder home icon icons id inner item items "
+    "js label layout left link links list main meta mobile module news outer page panel post posts primary reader reading region reply response responses right row secondary section site slot sticky stories table text thread title top topics tree "
+    "twitter unit user video videos view wide wrap wrapper x zone".split()
+)
 _NEGATED = frozenset("has no with without".split())
 _SENTENCE = re.compile(r"[.!?。！？؟](?:\s|$)")
 #: Tags that an opening tag closes if they are open, up to the nearest barrier.
@@ -65,14 +73,19 @@ def _hidden(tag: str, attrs: dict[str, str], inside: bool) -> bool:
 
 
 def _named(tag: str, attrs: dict[str, str]) -> int:
-    """2 if class or id names boilerplate, 1 if it is in doubt, else 0."""
+    """3 if class or id names boilerplate, 2 if it may, 1 if it has such a word beside words of another subject, else 0."""
     found = 0
     if tag not in ("body", "html", "main", "article"):
         for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
             parts = [x for x in _SPLIT.split(name) if x]
             if parts and _NEGATED.isdisjoint(parts):
                 ends = {parts[0], parts[-1]}
-                found = max(found, 2 * (not _DROP_WORD.isdisjoint(ends)), 1 * (not _DOUBT.isdisjoint(ends)))
+                drop, doubt = ends & _DROP_WORD, ends & _DOUBT
+                subject = any(not (x in _NEUTRAL or x in _DROP_WORD or x in _DOUBT or len(x) < 2 or x.isdigit()) for x in parts)
+                if drop:
+                    found = max(found, 1 if subject and drop <= _TOPIC else 3)
+                elif doubt:
+                    found = max(found, 1 if subject else 2)
     return found
 
 
@@ -128,16 +141,17 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 class _Subtree:
-    """What is known of a subtree whose name is boilerplate's."""
+    """What is known of a subtree whose name is, or may be, boilerplate's (``level`` of :func:`_named`)."""
 
-    def __init__(self, sure: bool):
-        self.sure, self.article, self.chars, self.links, self.blocks, self.sentences = sure, False, 0, 0, 0, 0
+    def __init__(self, level: int):
+        self.level, self.article, self.chars, self.links, self.blocks, self.sentences = level, False, 0, 0, 0, 0
 
     def dropped(self) -> bool:
         if self.article:
             return False
-        prose = self.chars >= 120 and self.sentences >= 2 and self.chars >= 60 * self.blocks and 10 * self.links < self.chars
-        return self.sure or not prose
+        running = self.sentences >= 1 and self.chars >= 40 * self.blocks and 10 * self.links < self.chars
+        prose = running and self.chars >= 120 and self.sentences >= 2 and self.chars >= 60 * self.blocks
+        return self.level == 3 or not (prose if self.level == 2 else running)
 
 
 def parse(page: str) -> list[Block]:
@@ -238,7 +252,7 @@ def parse(page: str) -> list[Block]:
             skip = len(stack) + 1
         name = 0 if skip or not attrs else _named(tag, attrs)
         if name:
-            doubts.append(_Subtree(name == 2))
+            doubts.append(_Subtree(name))
         if tag in ("article", "main"):
             n_articles += 1
             for d in doubts:
@@ -256,8 +270,11 @@ def parse(page: str) -> list[Block]:
     return [(t, a, n) for t, a, n, d in blocks if not any(x.dropped() for x in d)]
 
 
-#: Containers that a block counts for; characters that make an article beside the main one more than a teaser.
-REACH, BESIDE = 12, 200
+#: Containers that a block counts for (a third of a third each: the thirteenth would add less than a millionth); characters
+#: that make an article beside the main one more than a teaser, or, beside a short one, this share of it.
+REACH, BESIDE, SHARE = 12, 200, 0.2
+#: Score at which a page's vote for a path grows no more, so that one long page does not outvote a host.
+MOST_SCORE = 1e4
 
 
 def best(blocks: list[Block]) -> tuple[str, float]:
@@ -317,12 +334,14 @@ def _widen(inside: dict[str, tuple[int, int]], arounds: set[tuple[str, ...]], pa
 
 
 def chosen(inside: dict[str, tuple[int, int]], path: str) -> set[str]:
-    """The path and, if it is an article, the further articles beside it of at least ``BESIDE`` characters, with few links."""
+    """The path and, if it is an article, the further articles beside it that are no teasers: of at least ``BESIDE`` characters, or
+    ``SHARE`` of the main one if that is less, with few links."""
     if kind(path) != "article":
         return {path}
     parent = path.rpartition(">")[0]
     beside = {p: n for p, n in inside.items() if kind(p) == "article" and p.rpartition(">")[0] == parent}
-    return {path, *(p for p, (n, links) in beside.items() if n >= BESIDE and 4 * links < n)}
+    least = min(BESIDE, SHARE * inside[path][0])
+    return {path, *(p for p, (n, links) in beside.items() if n >= least and 4 * links < n)}
 
 
 def extract(blocks: list[Block], winner: str | None) -> str:
@@ -339,7 +358,7 @@ def extract(blocks: list[Block], winner: str | None) -> str:
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches):
         found = [(widen(x, p) if x else p, s) for x in (parse(x or "") for x in b.column(1).to_pylist()) for p, s in (best(x),)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in found], pa.string()), pa.array([min(s, 1e4) for _, s in found], pa.float64())], names=["host", "path", "score"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in found], pa.string()), pa.array([min(s, MOST_SCORE) for _, s in found], pa.float64())], names=["host", "path", "score"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
