@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from docloom.llm import html
-from docloom.llm.decontaminate import find_leaks
+from docloom.llm.decontaminate import Items, find_leaks, seeds_of, word_ids
 from docloom.llm.embedding import near_embeddings
 from docloom.llm.langid import keep_identified, learn, limits
 from docloom.llm.minhash import near_duplicates
@@ -143,6 +143,9 @@ def test_recall_of_edited_copies(spark):
         "every tenth": lambda w: ["zz" if k % 10 == 9 else x for k, x in enumerate(w)],
         "every fifth": lambda w: ["zz" if k % 5 == 4 else x for k, x in enumerate(w)],
         "every fourth": lambda w: ["zz" if k % 4 == 3 else x for k, x in enumerate(w)],
+        "every third": lambda w: ["zz" if k % 3 == 2 else x for k, x in enumerate(w)],
+        "every third left out": lambda w: [x for k, x in enumerate(w) if k % 3 != 2],
+        "one put in after every second": lambda w: [y for k, x in enumerate(w) for y in ([x, "zz"] if k % 2 else [x])],
         "inserted": lambda w: w[:20] + many(12) + w[20:],
         "shortened": lambda w: [x for k, x in enumerate(w) if k % 5],
         "none": lambda w: many(40),
@@ -155,6 +158,83 @@ def test_recall_of_edited_copies(spark):
     docs = spark.createDataFrame([*rows, rows[0]], "doc_id bigint, text string").selectExpr("*", "1 as words", "2 as at", "3 as item_id")
     bench = spark.createDataFrame([*[(k, " ".join(w)) for k, w in enumerate(items)], (None, None)], "item_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in find_leaks(docs, bench).collect()} == due
+    assert {(r.doc_id, r.item_id) for r in find_leaks(docs, bench, chunk_words=100).collect()} == due
+
+
+def _shared(a, b):
+    """Whether two word sequences share a seed, by the words themselves."""
+    if min(len(a), len(b)) < 3:
+        return len(a) == len(b) and list(a) == list(b)
+    three = lambda w: {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+    four = lambda w: {tuple(w[k : k + 4]) for k in range(len(w) - 3)}
+    gap = lambda w: {(*w[k : k + 2], *w[k + 3 : k + 5]) for k in range(len(w) - 4)}
+    return bool(three(a) & three(b) or gap(a) & (gap(b) | four(b)) or four(a) & gap(b))
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+@pytest.mark.parametrize("popular", [0, 1])
+def test_joins_of_seeds_equal_brute_force(threshold, popular):
+    """Whatever the counts say, a passage meets just the items that share a seed with it and enough words."""
+    rng = np.random.default_rng(61)
+    draw = lambda n: (rng.zipf(1.4, n) % 40).tolist()
+    texts = [" ".join(f"w{x}" for x in draw(int(rng.integers(1, 30)))) for _ in range(150)]
+    loaded = [(k, word_ids(t.encode()), len(t.split()) < 8) for k, t in enumerate(texts)]
+    items = Items(loaded, threshold)
+    keys = np.unique(np.concatenate([items.seed, items.vocabulary]))
+    items.rank(keys, rng.integers(0, 50, len(keys)) if popular else np.zeros(len(keys), np.int64))
+    seen, need = 0, items.need(False)
+    for _ in range(120):
+        w = word_ids(" ".join(f"w{x}" for x in draw(int(rng.integers(1, 60)))).encode())
+        read = [np.arange(len(h)) for h in seeds_of(w)]
+        some, begin, shifts = items.met(np.concatenate(read), np.concatenate(seeds_of(w)), w)
+        want = set()
+        for k, a, exact in loaded:
+            held = sum(x in set(w.tolist()) for x in a.tolist())
+            if _shared(a.tolist(), w.tolist()) and held >= (len(a) if exact else threshold * max(min(len(a), len(w)), 8)):
+                want.add(k)
+        got = set(some[some >= 0].tolist())
+        for k, a, exact in loaded:
+            if exact:
+                copies = [o for o in range(len(w) - len(a) + 1) if (w[o : o + len(a)] == a).all()]
+                assert not copies or k in got or len(a) < 3 and len(a) != len(w)
+            else:
+                assert k not in got or k in want
+                # fewer words than need() are under what the alignment's score must reach
+                assert k not in want or k in got or np.isin(a, w).sum() < need[k]
+        seen += len(got)
+    assert seen > 100
+
+
+def test_a_trigram_of_ten_thousand_items(spark):
+    """Passages that hold only words common to all items meet none of them; copies among them are found."""
+    rng = np.random.default_rng(62)
+    common = "all of the"
+    many = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 200_000, n))
+    bench = [(k, f"{many(15)} {common} {many(15)}") for k in range(10_000)]
+    third = " ".join("zz" if k % 3 == 2 else x for k, x in enumerate(bench[77][1].split()))
+    rows = [(k, f"{many(40)} {common} {many(40)}") for k in range(2_000)] + [(5000, f"{many(40)} {bench[5][1]} {many(40)}"), (5001, f"{many(40)} {third} {many(40)}")]
+    got = find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(5000, 5), (5001, 77)}
+    items = Items([(k, word_ids(t.encode()), False) for k, t in bench], 0.5)
+    w = word_ids(rows[0][1].encode())
+    keys = np.sort(seeds_of(word_ids(common.encode()))[0])
+    items.rank(keys, np.full(len(keys), 2_000))
+    some, *_ = items.met(np.arange(len(w) - 2), seeds_of(w)[0], w)
+    # 80 words, each one of the 17 rarest of 10,000 * 17 / 200,000 items: 68 expected
+    assert len(some) < 150
+
+
+def test_leaks_of_odd_rows(spark):
+    """Null ids on either side, clashing names, very long texts, repeated rows."""
+    rng = np.random.default_rng(63)
+    many = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 20_000, n))
+    item = many(40)
+    rows = [(None, item), (1, f"{many(150_000)} {item} {many(150_000)} {item}"), (2, item), (2, item), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as start", "2 as grams", "3 as words", "4 as item_id", "5 as score")
+    got = find_leaks(docs, spark.createDataFrame([(None, item), (8, item)], "item_id bigint, text string")).collect()
+    want = [(d, i) for d, n in ((None, 1), (1, 2), (2, 2)) for i in (None, 8) for _ in range(n)]
+    assert sorted(map(str, ((r.doc_id, r.item_id) for r in got))) == sorted(map(str, want))
+    assert all(r.score == 1.0 and r.word_end - r.word_start == 40 for r in got)
 
 
 # ---- groups above a block ----
