@@ -61,7 +61,7 @@ FLUFF = (
     r"including\s+all\s+(?:the\s+)?accessories\b|with\s+auto\s+dialer\b|expandable\s+up\s*to\b|\[\[PAGE:)"
 )
 TAIL = r"(?i)(?:\.\s*|\s+)(?:inspection\s*:|as\s+per\s+|conforming\s+to\s+|suitable\s+for\s+|to\s+suit\s+|make\s*:|model\s*:|spec(?:ification)?\.?\s*(?:no\.?)?\s*[A-Z0-9/])"
-NEXT_ROW = r"(?i)\s+(?:[A-Za-z]{1,6}\d{1,5}|\d{1,6})\s+[\d,]+\.\d{2}\s+(?:Numbers?|Nos?\.?|Metres?|Meters?|Mtrs?|Sets?|Each|Kgs?|Units?|Job|Days?|Cum|Sqm|Rmt|Ton|Litre|Stations?)\s+[\d,]+\.\d{2}.*$"
+NEXT_ROW = r"(?i)\s+(?:[A-Za-z]{1,6}\d{1,5}|\d{1,18})\s+[\d,]+\.\d{2}\s+(?:Numbers?|Nos?\.?|Metres?|Meters?|Mtrs?|Sets?|Each|Kgs?|Units?|Job|Days?|Cum|Sqm|Rmt|Ton|Litre|Stations?)\s+[\d,]+\.\d{2}.*$"
 SEPARATORS = (", with ", " with ", " including ", " complete ")
 LEAST_CUT, MAX_NAME, PASSES, WHOLE = 8, 140, 5, 0.82
 
