@@ -21,6 +21,7 @@ from ..sources import pages as page_source
 from . import flow, render
 from .deploy import ship
 from .queries import _NUMBERED, _scalar, query, table
+from .stages import spread
 
 
 
@@ -133,7 +134,7 @@ _scalar("b16_valid_row", "lineitem", "l_orderkey", lambda: P.valid_row(_item(s_n
 
 # ---- I: sections, marketplace bids, mastheads, clauses ----
 def _orders_text(spark: SparkSession, d: str, *parts: Column | str) -> DataFrame:
-    o = table(spark, d, "orders").repartition("o_orderkey")
+    o = spread(table(spark, d, "orders"), "o_orderkey")
     return o.select(F.col("o_orderkey").cast("string").alias("doc_id"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("text"))
 
 

@@ -89,3 +89,16 @@ def test_lines_of_items_are_folded_once(spark):
     assert not re.search(r"Window .*\], \[doc_id#\d+, item_no#\d+L?\]", rows._jdf.queryExecution().analyzed().toString())
     got = [tuple(r) for r in rows.orderBy("seq").select("s_no", "item_code", "description", "item_qty", "unit_rate", "schedule").collect()]
     assert got == [("1", "NS9", "lamp of 3", "2.00", "3.00", "Schedule A-x")]
+
+
+def test_clauses_look_for_a_heading_once(spark):
+    """F32: a clause's heading was looked for again in every part of its content; texts of orders came in one task."""
+    from docloom.operators import fields
+    from docloom.plans import item_queries
+
+    text = "[[PAGE:3]]\nPayment Terms:\nWithin thirty days of the bill.\n" + "more words\n" * 12 + "Other Heading Here\nnot this\n3. Warranty\nToo short"
+    rows = fields.clauses(spark.createDataFrame([("d", text), ("n", None)], "doc_id string, text string"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("regexp_instr(") == sum(map(len, fields.CLAUSES.values()))
+    got = [tuple(r) for r in rows.select("clause_type", "content", "page_number").collect()]
+    assert got == [("Payment Terms", "Within thirty days of the bill.\n" + "\n".join(["more words"] * 12), 3)]
+    assert item_queries._orders_text(spark, "/root/testdata/sf0.001", "x").rdd.getNumPartitions() >= 24
