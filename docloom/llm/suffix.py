@@ -277,7 +277,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # at most four per partition can be this frequent
     often = f"n > {max(HOT, table.count() // (4 * partitions(spark)))}"
     frequent = F.broadcast(shared.where(often).drop("n"))
-    rest = table.join(frequent.select("h"), "h", "left_anti").join(shared.where(f"not ({often})").drop("n"), "h")
+    named = [r.h for r in shared.where(often).select("h").collect()]
+    rest = table.where(~F.col("h").isin(named)).join(shared.where(f"not ({often})").drop("n"), "h")
     rows = stages.write(table.join(frequent, "h").unionByName(rest))
     stages.drop(table, shared)
     # one location stands for all occurrences of a context
